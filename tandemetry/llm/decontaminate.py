@@ -95,7 +95,7 @@ def phrases(index: DataFrame, windows: DataFrame) -> DataFrame:
     n = F.size("terms")
     lists = lists.where((begin >= 0) & (begin + n <= F.size("around")))
     lists = lists.where(F.get("around", begin + F.col("second_offset")) == F.col("second"))
-    return lists.where(F.slice("around", begin + 1, n) == F.col("terms")).select("doc_id", "item_id", (F.col("pos") - F.col("offset")).alias("start"), n.alias("length"))
+    return lists.where(F.slice("around", F.greatest(begin + 1, F.lit(1)), n) == F.col("terms")).select("doc_id", "item_id", (F.col("pos") - F.col("offset")).alias("start"), n.alias("length"))
 
 
 def proximity(index: DataFrame, windows: DataFrame, share: float = 0.8) -> DataFrame:
