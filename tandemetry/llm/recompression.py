@@ -11,9 +11,10 @@ all pairs, which would shuffle the corpus once a round.
 For each window the symbols that follow from the window's words alone are known
 exactly, level by level: at either end a symbol is dropped if it could join one
 outside.  A window is anchored at the least such symbol of its highest level
-that has any, a function of its words.  Equal windows thus share their anchor.
-Anchors are what Spark shuffles: an anchor that also occurs in a document of a
-smaller doc_id reveals a candidate.  Only windows on such anchors are hashed by
+that has any, a function of its words, and keyed by the half window of words that
+ends with the symbol, or begins with it where the other would leave the window.
+Equal windows thus share their key.  Keys are what Spark shuffles: one that also
+occurs in a document of a smaller doc_id reveals a candidate.  Only windows on such anchors are hashed by
 their 50 words (128 bits) and shuffled to verify the repeat and to find the
 smallest document that holds it.
 
@@ -52,7 +53,7 @@ def _names(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Start and anchor name of every window of each document's words h."""
+    """Start and anchor key of every window of each document's words h."""
     n_words = np.diff(first)
     starts = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(first[1:], n_words))
     if not len(starts):
@@ -60,7 +61,8 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
     symbols = h
     doc = K.groups(first)
     low, high = starts.copy(), starts + window  # symbols [low, high) follow from the window alone
-    anchor = _least(symbols, low, high, np.zeros(len(starts), K.U64), np.ones(len(starts), bool), 0)
+    place = np.arange(len(h) + 1)  # first word of each symbol
+    begin_at, end_at = _least(symbols, place, low, high, starts, starts, np.ones(len(starts), bool), 0)
     for level in range(1, rounds + 1):
         # runs: equal neighbours become one symbol; a run at either end of a window may go on outside
         n = len(symbols)
@@ -72,7 +74,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
         named = symbols[begin]
         long = length > 1
         named[long] = _names(named[long], length[long].astype(np.uint64), 2 * level)
-        doc = doc[begin]
+        doc, place = doc[begin], place[np.append(begin, n)]
         last = np.minimum(high, n) - 1
         some = high > low
         # a run that the window may cut is unknown, be it cut or not: at its ends nobody can tell
@@ -90,7 +92,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
         named = symbols[begin]
         pair = joins[begin]
         named[pair] = _names(symbols[begin[pair]], symbols[begin[pair] + 1], 2 * level + 1)
-        doc = doc[begin]
+        doc, place = doc[begin], place[np.append(begin, n)]
         some = high > low
         at = np.minimum(low, n - 1)
         low = np.where(some, low + right[at], 0)  # a right symbol at the low end may belong to a pair outside
@@ -100,30 +102,35 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
         bounds = np.append(index, len(named))
         low, high = np.where(some, bounds[low], 0), np.where(some, bounds[np.maximum(high - 1, 0)] + 1, 0)
         symbols = named
-        anchor = _least(symbols, low, high, anchor, some, level)
-    return starts, anchor
+        begin_at, end_at = _least(symbols, place, low, high, begin_at, end_at, some, level)
+    context = (window + 1) // 2
+    around = K.rolling(h, context, K.P1)
+    left = end_at - context >= starts
+    return starts, around[np.where(left, end_at - context, begin_at)] + left.astype(np.uint64)
 
 
-def _least(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray, some: np.ndarray, level: int) -> np.ndarray:
-    """The least name in symbols[low:high] of each window that has any there, else what it had before."""
-    out = before.copy()
+def _least(symbols: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, begin_at: np.ndarray, end_at: np.ndarray, some: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word, and the word after the last, of the leftmost least symbol in symbols[low:high] of each window that has any there, else what they were before."""
     a, width = low[some], (high - low)[some]
     if not len(a):
-        return out
+        return begin_at, end_at
     names = K.mix(symbols ^ K.U64(0x1234567 + level))
-    table, step = names, 1
-    got = np.empty(len(a), K.U64)
+    table, step = np.arange(len(names)), 1
+    got = np.empty(len(a), np.int64)
     top = int(np.floor(np.log2(width.max())))
     for k in range(top + 1):
         mine = (width >= step) & (width < 2 * step)
         if mine.any():
             x = a[mine]
-            got[mine] = np.minimum(table[x], table[x + width[mine] - step])
-        if k < top:
-            table = np.minimum(table[:-step], table[step:]) if len(table) > step else table
+            u, v = table[x], table[x + width[mine] - step]
+            got[mine] = np.where(names[u] <= names[v], u, v)
+        if k < top and len(table) > step:
+            u, v = table[:-step], table[step:]
+            table = np.where(names[u] <= names[v], u, v)
         step *= 2
-    out[some] = got
-    return out
+    begin_at, end_at = begin_at.copy(), end_at.copy()
+    begin_at[some], end_at[some] = place[got], place[got + 1]
+    return begin_at, end_at
 
 
 def windows(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
