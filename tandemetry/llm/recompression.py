@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemetry.llm import kernels as K
-from tandemetry.llm.common import BROADCAST_IDS, by_ids, drop_staged, staged
+from tandemetry.llm.common import by_ids, drop_staged, staged
 
 WINDOW = 50
 #: Rounds of naming: symbols then stand for (4/3)**ROUNDS words on average.
@@ -244,8 +244,7 @@ def find(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[D
     shared = reps.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi")
     candidates = reps.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("shared"))
     candidates = staged(candidates, "candidates")
-    n = candidates.count()
-    texts = rows.select("ord", "text").join(F.broadcast(candidates) if n * 64 <= BROADCAST_IDS and _small(candidates) else candidates.hint("merge"), "ord")
+    texts = rows.select("ord", "text").join(candidates.hint("merge"), "ord")
     found = staged(texts.mapInArrow(_second_pass(window, rounds), "ord long, at int, w1 long, w2 long"), "windows")
     least = found.groupBy("w1", "w2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi").select("w1", "w2", "lo")
     gone = staged(found.join(least, ["w1", "w2"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts")), "gone")
@@ -253,16 +252,6 @@ def find(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[D
     return passed.drop("anchors").join(groups, ["k1", "k2"]), gone
 
 
-def _small(candidates: DataFrame) -> bool:
-    """Whether the candidates' anchors may be broadcast."""
-    return (candidates.agg(F.sum(F.size("shared"))).head()[0] or 0) <= BROADCAST_IDS
-
-
-def _starts_of_all(rows: DataFrame, window: int):
-    """Windows of a copy of a smaller document: all."""
-    return F.when((F.col("ord") > F.col("least")) & (F.col("n_words") >= window), F.sequence(F.lit(0), F.col("n_words").cast("int") - window))
-
-
 def deduplicate(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     rows, gone = find(docs, window, rounds)
