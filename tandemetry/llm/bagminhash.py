@@ -12,10 +12,10 @@ Texts with equal word sequences are one class from the start, represented by the
 smallest doc_id.  Signatures are cut into BANDS bands of ROWS components; in
 each bucket of a band, members are linked with the bucket's smallest document
 where the exact weighted Jaccard reaches the threshold.  Buckets whose members
-are then still in different components are searched in blocks: signatures of
-members of different components are compared, and all pairs within reach of the
-threshold are verified.  So no link between different texts of a bucket is lost,
-and no bucket's pairs are emitted.  A pair at similarity 0.8 shares no bucket
+are then still in different components are searched block by block: where the
+signatures of members of different components are within reach of the threshold,
+the exact similarity is computed, and a link that joins two components is kept.
+So no link that a class depends on is lost, and no bucket's pairs are emitted.  A pair at similarity 0.8 shares no bucket
 with probability (1 - 0.8**5)**25 < 5e-5.
 
 Defined results: null and wordless texts have the empty multiset and are one
@@ -40,7 +40,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Members of a bucket that one block of the second search holds.
-BLOCK = 512
+BLOCK = 256
 #: Standard errors of the signature estimate below the threshold at which a pair of blocks is no longer verified.
 ERRORS = 5.0
 _ONE = 1.0 / (1 << 53)
@@ -173,61 +173,89 @@ def _verify(threshold):
     return run
 
 
+def bags_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and bag of the given documents."""
+    ids = staged(ids.distinct(), "bag-ids")
+    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left_semi")
+    return staged(texts.mapInArrow(_bags, "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts reach the threshold exactly."""
-    ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct(), "pair-ids")
-    texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left_semi")
-    bags = staged(texts.mapInArrow(_bags, "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
+    bags = bags_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))), docs)
     a = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
     b = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
     out = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify(threshold), "a long, b long"), "verified")
-    drop_staged(ids, bags)
+    drop_staged(bags)
+    return out
+
+
+def _links(rows: list[tuple], threshold: float, least: float) -> list[tuple[int, int]]:
+    """Verified links of one block with itself or another that join different components, at most one fewer than components.
+
+    rows: (second block, rep, component, sig, bag), each rep once.
+    """
+    roots: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := roots.get(x, x)) != x:
+            roots[x] = x = roots.get(up, up)
+        return x
+
+    right = [r for r in rows if r[0]]
+    left = [r for r in rows if not r[0]]
+    both = right or left
+    sigs = np.frombuffer(b"".join(r[3] for r in both), np.uint8).reshape(len(both), M)
+    sizes = np.array([len(r[4]) for r in both])
+    out = []
+    for i, (_, rep, component, sig, own) in enumerate(left):
+        match = (sigs == np.frombuffer(sig, np.uint8)).mean(axis=1)
+        near = np.flatnonzero((match >= least) & (np.minimum(sizes, len(own)) >= threshold * np.maximum(sizes, len(own)) - 1e-9))
+        for j in near[np.argsort(-match[near], kind="stable")]:
+            _, other, far, _, bag_ = both[j]
+            if (right or j > i) and find(component) != find(far) and similarity(np.frombuffer(own, np.uint64), np.frombuffer(bag_, np.uint64)) >= threshold:
+                roots[find(component)] = find(far)
+                out.append((rep, other))
     return out
 
 
-def _block_pairs(threshold: float):
-    """Pairs of members of different components within reach of the threshold, from one block against one block."""
+def _search(threshold: float):
+    """Blocks arrive sorted by (bucket, x, y); one is held at a time."""
     least = threshold - ERRORS * (threshold * (1 - threshold) / M) ** 0.5
+    names = ["bucket", "x", "y", "second", "rep", "component", "sig", "bag"]
+
+    def table(links):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    def run(key, left, right=None):
-        import pandas as pd
-
-        a = left.drop_duplicates("rep")
-        b = a if right is None else right.drop_duplicates("rep")
-        sa = np.frombuffer(b"".join(a["sig"]), np.uint8).reshape(len(a), M)
-        sb = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), M)
-        ca, cb = a["component"].to_numpy(), b["component"].to_numpy()
-        ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-        out = []
-        for i in range(len(a)):
-            near = np.flatnonzero((cb != ca[i]) & (rb > ra[i] if right is None else True))
-            if len(near):
-                near = near[(sb[near] == sa[i]).mean(axis=1) >= least]
-                out.append(np.column_stack([np.full(len(near), ra[i]), rb[near]]))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+    def run(batches):
+        key, rows, links = None, [], []
+        for batch in batches:
+            for bucket, x, y, *row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if (bucket, x, y) != key:
+                    links += _links(rows, threshold, least) if len(rows) > 1 else []
+                    key, rows = (bucket, x, y), []
+                rows.append(row)
+            yield table(links)
+            links = []
+        yield table(_links(rows, threshold, least) if len(rows) > 1 else [])
 
     return run
 
 
-def residual_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs that may reach the threshold in buckets whose members are in different components."""
+def residual_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links (a, b) in buckets whose members are in different components, enough of them to join all that belong together."""
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-    members = named.join(open_, "bucket").join(sigs, "rep")
+    members = staged(named.join(open_, "bucket"), "members")
+    bags = bags_of(members.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.select("bucket", "rep", "component", "sig", n_blocks.alias("k"), F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("i"))
+    blocks = members.select("bucket", "rep", "component", n_blocks.alias("k"), F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("i"))
     # a bucket of k blocks has k * (k + 1) / 2 block pairs; each member goes to the k of them that its block is in
-    pairs = members.select("bucket", "rep", "component", "sig", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    keyed = pairs.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component", "sig")
-    search = _block_pairs(threshold)
-
-    def one(key, frame):
-        if key[1] == key[2]:
-            return search(key, frame)
-        return search(key, frame[~frame["second"]], frame[frame["second"]])
-
-    return keyed.groupBy("bucket", "x", "y").applyInPandas(one, "a long, b long").distinct()
+    pairs = blocks.select("bucket", "rep", "component", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    keyed = pairs.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component")
+    filled = keyed.join(sigs, "rep").join(bags, "rep").select("bucket", "x", "y", "second", "rep", "component", "sig", "bag")
+    dealt = filled.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return staged(dealt.mapInArrow(_search(threshold), "a long, b long").distinct(), "residual")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,12 +270,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stars = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     first = verified(stars, rows, threshold)
     labels = components(first)
-    rest = staged(residual_pairs(buckets.select("bucket", "rep"), labels, known.select("rep", "sig"), threshold), "residual")
+    rest = residual_links(buckets.select("bucket", "rep"), labels, known.select("rep", "sig"), rows, threshold)
     if rest.limit(1).count():
-        more = verified(rest, rows, threshold)
-        if more.limit(1).count():
-            drop_staged(labels)
-            labels = components(first.union(more))
+        drop_staged(labels)
+        labels = components(first.union(rest))
     named = reps.join(labels, reps.rep == labels.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     named = staged(named, "classes")
     out = staged(signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id"), "classed")
