@@ -36,7 +36,7 @@ CAPACITY = 2048
 #: Fillings that the search may try in all, and alternatives kept at each step.
 NODES, WIDTH = 6000, 3
 #: Entries that each of the tokenizer's memos holds before it begins anew.
-MEMO = 600_000
+MEMO = 200_000
 
 
 class WordBPE:

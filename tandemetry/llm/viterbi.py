@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Parts that a worker remembers; then it forgets all and begins anew.
-MEMO = 500_000
+MEMO = 300_000
 
 
 class Counter:
