@@ -166,7 +166,7 @@ _BOOT = f"{_PAIRED}, g1 as (select *, row_number() over (partition by task order
 add("bootstrap_ci", f"with {_BOOT} select task, count(rho) as n_boot, round(@pct(rho, 0.025), 6) + 0.0 as lo, round(@pct(rho, 0.975), 6) + 0.0 as hi, @pct(rho, 0.025) > 0 or @pct(rho, 0.975) < 0 as excludes_zero from bc group by task")
 add(
     "shifted_bootstrap_p",
-    f"with {_BOOT}, ro as (select task, {rank('x', 'task')} as rx, {rank('y', 'task')} as ry from g), o as (select task, {CORR} as obs from ro group by task) select o.task, round(obs, 6) + 0.0 as obs, (1 + count(*) filter (where abs(rho - obs) >= abs(obs))) / (1e0 + count(rho)) as p from o join bc on o.task = bc.task group by o.task, obs",
+    f"with {_BOOT}, ro as (select task, {rank('x', 'task')} as rx, {rank('y', 'task')} as ry from g), o as (select task, {CORR} as obs from ro group by task) select o.task, round(obs, 6) + 0.0 as obs, (1 + count(*) filter (where abs(rho - obs) >= abs(obs) - 1e-12)) / (1e0 + count(rho)) as p from o join bc on o.task = bc.task group by o.task, obs",
 )
 add(
     "bootstrap_heterogeneity",
