@@ -173,7 +173,7 @@ add(
     f"with {_BOOT}, zz as (select rep, b.task, c.n - 3 as w, atanh(greatest(-0.999999e0, least(0.999999e0, rho))) as z from bc b join (select task, count(*) as n from g group by task) c on b.task = c.task), m as (select task, avg(z) as zt from zz group by task),"
     " k as (select rep, zz.task, w, z - zt as z from zz join m on zz.task = m.task), b2 as (select rep, sum(w * z) / sum(w) as zbar from k group by rep) select cast(k.rep as bigint) as rep, round(sum(w * (z - zbar) * (z - zbar)), 6) + 0.0 as q from k join b2 on k.rep = b2.rep group by k.rep",
 )
-add("jackknife", f"with {_PAIRED}, few as (select * from g where task = 'click' and pid < 20), f as (select a.pid as fold, b.x, b.y from few a join few b on a.pid <> b.pid), r as (select fold, {rank('x', 'fold')} as rx, {rank('y', 'fold')} as ry from f) select fold, round({CORR}, 6) + 0.0 as rho from r group by fold")
+add("jackknife", f"with {_PAIRED}, few as (select * from g where task = 'click'), f as (select a.pid as fold, b.x, b.y from few a join few b on a.pid <> b.pid), r as (select fold, {rank('x', 'fold')} as rx, {rank('y', 'fold')} as ry from f) select fold, round({CORR}, 6) + 0.0 as rho from r group by fold")
 
 # Intervals and conversation
 
@@ -279,7 +279,7 @@ _COMP = f"{EV}, dl as (select pid, t, event_id, x - lag(x) over (partition by pi
 add("reversal_rate", f"with {_COMP} select pid, count(ls) as n, case when count(*) > 8 then round(avg(case when s <> ls then 1e0 else 0e0 end), 6) end as share from sg where ls is not null group by pid")
 add("burst_runs", f"with {EV}, q as (select pid, x, row_number() over (partition by pid order by t, event_id) as i from ev where h is not null), b as (select pid, i - row_number() over (partition by pid order by i) as k from q where x >= 50e0), r as (select pid, k, count(*) as len from b group by pid, k), s as (select pid, count(*) as n, avg(case when x < 20e0 then 1e0 else 0e0 end) as still, avg(case when x >= 50e0 then 1e0 else 0e0 end) as burst from q group by pid) select s.pid, s.n, round(still, 6) as still_frac, round(burst, 6) as burst_frac, count(len) as n_bursts, round(coalesce(avg(len), 0e0), 6) as burst_mean from s left join r on s.pid = r.pid group by s.pid, s.n, still, burst")
 add("mask_halves", f"with {EV}, m as (select pid, x, row_number() over (partition by pid order by t, event_id) - 1 as i, count(*) over (partition by pid) as n from ev) select pid, case when i < floor(n / 2) then 'first' else 'second' end as half, count(*) as n_half, round(avg(x), 6) as mean from m where n >= 8 group by pid, case when i < floor(n / 2) then 'first' else 'second' end")
-_SERIES = "fl as (select vec_id, i, @at(embedding, i) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings where vec_id < 40) z)"
+_SERIES = "fl as (select vec_id, i, @at(embedding, i) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings) z)"
 add(
     "cross_correlation_peak",
     f"with {_SERIES}, lg as (select @series(-6, 6) as lag), pr as (select a.vec_id, lag, cast(a.v as double) as x, cast(b.v as double) as y from fl a cross join lg join fl b on b.vec_id = a.vec_id + 1 and b.i = a.i + lag),"
@@ -287,13 +287,13 @@ add(
 )
 add(
     "sample_entropy",
-    "with fl as (select vec_id, i, cast(@at(embedding, i) as double) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings where vec_id < 20) z), w as (select vec_id, i, v as a, lead(v, 1) over o as b, lead(v, 2) over o as c, stddev_pop(v) over (partition by vec_id) * 2e-1 as r from fl window o as (partition by vec_id order by i)),"
+    "with fl as (select vec_id, i, cast(@at(embedding, i) as double) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings) z), w as (select vec_id, i, v as a, lead(v, 1) over o as b, lead(v, 2) over o as c, stddev_pop(v) over (partition by vec_id) * 2e-1 as r from fl window o as (partition by vec_id order by i)),"
     " p as (select x.vec_id, count(*) filter (where x.b is not null and y.b is not null and abs(x.a - y.a) <= x.r and abs(x.b - y.b) <= x.r) as nb, count(*) filter (where x.c is not null and y.c is not null and abs(x.a - y.a) <= x.r and abs(x.b - y.b) <= x.r and abs(x.c - y.c) <= x.r) as na from w x join w y on x.vec_id = y.vec_id and x.i < y.i group by x.vec_id)"
     " select vec_id, nb, na, case when na > 0 and nb > 0 then round(-ln(na / cast(nb as double)), 6) + 0.0 end as sampen from p",
 )
 add(
     "cross_recurrence",
-    "with fl as (select vec_id, i, cast(@at(embedding, i) as double) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings where vec_id < 8) z), zs as (select vec_id, i, (v - avg(v) over (partition by vec_id)) / stddev_pop(v) over (partition by vec_id) as v from fl),"
+    "with fl as (select vec_id, i, cast(@at(embedding, i) as double) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings) z), zs as (select vec_id, i, (v - avg(v) over (partition by vec_id)) / stddev_pop(v) over (partition by vec_id) as v from fl),"
     " em as (select vec_id, i, v as p, lead(v, 4) over o as q, lead(v, 8) over o as r from zs window o as (partition by vec_id order by i)), ds as (select a.vec_id, a.i, b.i as j, sqrt((a.p - b.p) * (a.p - b.p) + (a.q - b.q) * (a.q - b.q) + (a.r - b.r) * (a.r - b.r)) as d from em a join em b on b.vec_id = a.vec_id + 1 where a.r is not null and b.r is not null),"
     " ra as (select vec_id, @pct(d, 0.05) as rad, count(*) as cells from ds group by vec_id), rc as (select ds.vec_id, i, j from ds join ra on ds.vec_id = ra.vec_id where d <= rad), dl as (select vec_id, i - j as dg, i - row_number() over (partition by vec_id, i - j order by i) as k from rc), ln as (select vec_id, dg, k, count(*) as len from dl group by vec_id, dg, k)"
     " select ln.vec_id, round(sum(len) / cast(max(cells) as double), 6) as rr, round(sum(case when len >= 2 then len else 0 end) / cast(sum(len) as double), 6) as det, max(len) as maxline from ln join ra on ln.vec_id = ra.vec_id group by ln.vec_id",
@@ -301,7 +301,7 @@ add(
 add("theil_sen", f"with {EV}, p as (select pid, t / 86400e0 as t, x, row_number() over (partition by pid order by t, event_id) as i from ev) select a.pid, count(*) as n, round(@pct((b.x - a.x) / (b.t - a.t), 0.5), 5) + 0.0 as slope from p a join p b on a.pid = b.pid and a.i < b.i and b.i <= 40 and abs(b.t - a.t) >= 1e-9 group by a.pid")
 add(
     "welch_segment",
-    "with fl as (select vec_id, i - 1 as i, cast(@at(embedding, i) as double) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings where vec_id < 20) z), h as (select vec_id, i, (v - avg(v) over (partition by vec_id)) * (5e-1 - 5e-1 * cos(2 * pi() * i / 63)) as v from fl), k as (select @series(1, 32) as k),"
+    "with fl as (select vec_id, i - 1 as i, cast(@at(embedding, i) as double) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings) z), h as (select vec_id, i, (v - avg(v) over (partition by vec_id)) * (5e-1 - 5e-1 * cos(2 * pi() * i / 63)) as v from fl), k as (select @series(1, 32) as k),"
     " ft as (select vec_id, k, power(sum(v * cos(2 * pi() * k * i / 64)), 2) + power(sum(v * sin(2 * pi() * k * i / 64)), 2) as pw from h cross join k group by vec_id, k), s as (select vec_id, k / 16e0 as f, pw, pw / sum(pw) over (partition by vec_id) as sh from ft)"
     " select vec_id, round(sum(case when f >= 0.1e0 and f < 0.5e0 then sh else 0e0 end), 6) as lo, round(sum(case when f >= 0.5e0 and f < 1e0 then sh else 0e0 end), 6) as mid, round(sum(case when f >= 1e0 and f <= 2e0 then sh else 0e0 end), 6) as hi, round(-sum(sh * ln(sh)) / ln(32e0), 6) as entropy from s group by vec_id",
 )
