@@ -12,7 +12,8 @@ Texts with equal word sequences are one class from the start, represented by the
 smallest doc_id.  Signatures are cut into BANDS bands of ROWS components; in
 each bucket of a band, members are linked with the bucket's smallest document
 where the exact weighted Jaccard reaches the threshold.  Buckets whose members
-are then still in different components are searched block by block: where the
+are then still in different components are searched block by block, leaving out
+what lies inside the bucket's largest component: where the
 signatures of members of different components are within reach of the threshold,
 the exact similarity is computed, and a link that joins two components is kept.
 So no link that a class depends on is lost, and no bucket's pairs are emitted.  A pair at similarity 0.8 shares no bucket
@@ -245,15 +246,20 @@ def _search(threshold: float):
 def residual_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) in buckets whose members are in different components, enough of them to join all that belong together."""
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("core"), F.sum("n").alias("n")).where("core.n < n").select("bucket", F.col("core.component").alias("core"), F.col("core.n").alias("n_core"), "n")
     members = staged(named.join(open_, "bucket"), "members")
     bags = bags_of(members.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = members.select("bucket", "rep", "component", n_blocks.alias("k"), F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("i"))
-    # a bucket of k blocks has k * (k + 1) / 2 block pairs; each member goes to the k of them that its block is in
-    pairs = blocks.select("bucket", "rep", "component", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    # a bucket of at most one block is that block; a larger one has blocks of its largest component, the core, after those of the rest
+    whole, inside = F.col("n") <= BLOCK, F.col("component") == F.col("core")
+    k_core, k_rest = F.ceil(F.col("n_core") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("n_core")) / BLOCK).cast("int")
+    place = F.when(whole, 0).when(inside, k_rest + F.pmod(F.xxhash64("rep"), k_core).cast("int")).otherwise(F.pmod(F.xxhash64("rep"), k_rest).cast("int"))
+    # members of the core need no comparison with each other, so core blocks meet those of the rest alone
+    last = F.when(whole, 0).when(inside, k_rest - 1).otherwise(k_rest + k_core - 1)
+    pairs = members.select("bucket", "rep", "component", place.alias("i"), F.explode(F.sequence(F.lit(0), last)).alias("j"))
     keyed = pairs.select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component")
-    filled = keyed.join(sigs, "rep").join(bags, "rep").select("bucket", "x", "y", "second", "rep", "component", "sig", "bag")
+    # signatures and bags meet once a document, before they are dealt to its block pairs
+    filled = keyed.join(bags.join(sigs, "rep"), "rep").select("bucket", "x", "y", "second", "rep", "component", "sig", "bag")
     dealt = filled.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return staged(dealt.mapInArrow(_search(threshold), "a long, b long").distinct(), "residual")
 
