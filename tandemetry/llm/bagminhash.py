@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemetry.llm import kernels as K
-from tandemetry.llm.common import by_ids, drop_staged, staged
+from tandemetry.llm.common import by_ids, drop_staged, staged, tidied
 from tandemetry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -178,7 +178,7 @@ def bags_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and bag of the given documents."""
     ids = staged(ids.distinct(), "bag-ids")
     texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left_semi")
-    return staged(texts.mapInArrow(_bags, "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
+    return staged(texts.mapInArrow(tidied(_bags), "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     bags = bags_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))), docs)
     a = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
     b = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
-    out = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify(threshold), "a long, b long"), "verified")
+    out = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "verified")
     drop_staged(bags)
     return out
 
@@ -261,13 +261,13 @@ def residual_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, docs:
     # signatures and bags meet once a document, before they are dealt to its block pairs
     filled = keyed.join(bags.join(sigs, "rep"), "rep").select("bucket", "x", "y", "second", "rep", "component", "sig", "bag")
     dealt = filled.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return staged(dealt.mapInArrow(_search(threshold), "a long, b long").distinct(), "residual")
+    return staged(dealt.mapInArrow(tidied(_search(threshold)), "a long, b long").distinct(), "residual")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(rows.mapInArrow(_sign, "doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "signatures")
+    signed = staged(rows.mapInArrow(tidied(_sign), "doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "signatures")
     reps = staged(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "representatives")
     known = reps.where("rep is not null")
     keys = known.select("rep", F.explode("bands").alias("bucket"))

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemetry.llm.common import drop_staged, shards, staged
+from tandemetry.llm.common import drop_staged, shards, staged, tidied
 
 CAPACITY = 2048
 #: Fillings that the search may try in all, and alternatives kept at each step.
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), PIECES)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -302,6 +302,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, nodes: int = NODE
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence[at] + rank), pa.array(offset[at])], [*names, "sequence_id", "offset"])
 
     out = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("rn") - 1).cast("long").alias("rank"))
-    out = staged(out.mapInArrow(run, f"{PIECES}, sequence_id long, offset long"), "packed")
+    out = staged(out.mapInArrow(tidied(run), f"{PIECES}, sequence_id long, offset long"), "packed")
     drop_staged(made, counted)
     return out

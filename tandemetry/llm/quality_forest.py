@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tandemetry.llm.common import tidied
 from pyspark.sql import types as T
 
 from tandemetry.llm import kernels as K
@@ -218,7 +220,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarr
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *map(pa.array, statistics(data, offs).T)], ["doc_id", "quality", *COUNTS])
 
-    got = some.mapInArrow(run, f"doc_id long, quality int, {_STATS}").groupBy("doc_id").agg(F.min(F.struct("quality", *COUNTS)).alias("x"))
+    got = some.mapInArrow(tidied(run), f"doc_id long, quality int, {_STATS}").groupBy("doc_id").agg(F.min(F.struct("quality", *COUNTS)).alias("x"))
     rows = np.array([tuple(r.x) for r in got.collect()], np.int64).reshape(-1, 1 + len(COUNTS))
     rows = rows[np.lexsort(rows.T)]
     return rows[:, 1:], rows[:, 0] == 0
@@ -246,7 +248,7 @@ def rate(docs: DataFrame, forest: Forest | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts.T), pa.array(base_failed(counts)), pa.array(score), pa.array(kept)], ["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, f"doc_id long, {_STATS}, base_failed boolean, score double, kept boolean")
+    return d.mapInArrow(tidied(run), f"doc_id long, {_STATS}, base_failed boolean, score double, kept boolean")
 
 
 def keep(docs: DataFrame, forest: Forest | None) -> DataFrame:
@@ -257,4 +259,4 @@ def keep(docs: DataFrame, forest: Forest | None) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(_judge(batch, forest)[2]))
 
-    return docs.mapInArrow(run, T.StructType.fromJson(json.loads(docs.schema.json())))
+    return docs.mapInArrow(tidied(run), T.StructType.fromJson(json.loads(docs.schema.json())))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemetry.llm import kernels as K
-from tandemetry.llm.common import by_ids, drop_staged, staged
+from tandemetry.llm.common import by_ids, drop_staged, staged, tidied
 
 WINDOW = 50
 #: Rounds of naming: symbols then stand for (4/3)**ROUNDS words on average.
@@ -235,7 +235,7 @@ def find(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[D
     """(a row a document: doc_id, ord, k1, k2, n_words, sha, least), (ord, starts of removed windows of representatives)."""
     rows = _keyed(docs)
     passed = staged(
-        rows.select("ord", "text").withColumnRenamed("ord", "doc_id").mapInArrow(_first_pass(window, rounds), "doc_id long, k1 long, k2 long, n_words long, sha string, anchors array<long>").withColumnRenamed("doc_id", "ord"), "passed"
+        rows.select("ord", "text").withColumnRenamed("ord", "doc_id").mapInArrow(tidied(_first_pass(window, rounds)), "doc_id long, k1 long, k2 long, n_words long, sha string, anchors array<long>").withColumnRenamed("doc_id", "ord"), "passed"
     )
     groups = staged(passed.groupBy("k1", "k2").agg(F.min("ord").alias("least")), "groups")
     # anchors of representatives; equal texts have equal anchors
@@ -245,7 +245,7 @@ def find(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[D
     candidates = reps.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("shared"))
     candidates = staged(candidates, "candidates")
     texts = rows.select("ord", "text").join(candidates.hint("merge"), "ord")
-    found = staged(texts.mapInArrow(_second_pass(window, rounds), "ord long, at int, w1 long, w2 long"), "windows")
+    found = staged(texts.mapInArrow(tidied(_second_pass(window, rounds)), "ord long, at int, w1 long, w2 long"), "windows")
     least = found.groupBy("w1", "w2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi").select("w1", "w2", "lo")
     gone = staged(found.join(least, ["w1", "w2"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts")), "gone")
     drop_staged(reps, candidates, found)
@@ -256,7 +256,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     rows, gone = find(docs, window, rounds)
     texts = by_ids(_keyed(docs).select("ord", "text"), gone.select("ord"), "ord", "left_semi").join(gone, "ord")
-    cut = staged(texts.mapInArrow(_cut_rows(window, False), "ord long, n_removed long, sha_kept string").dropDuplicates(["ord"]), "cut")
+    cut = staged(texts.mapInArrow(tidied(_cut_rows(window, False)), "ord long, n_removed long, sha_kept string").dropDuplicates(["ord"]), "cut")
     copy = (F.col("ord") > F.col("least")) & (F.col("n_words") >= window)
     return rows.join(cut, "ord", "left").select(
         F.when(F.col("ord") < LAST, F.col("ord")).alias("doc_id"), "n_words",
@@ -273,7 +273,7 @@ def removed_from(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     keyed = by_ids(keyed, staged(copies, "copies"), "__ord", "left_anti")
     touched = gone.select("ord")
     texts = by_ids(_keyed(docs).select("ord", "text"), touched, "ord", "left_semi").join(gone, "ord")
-    cut = staged(texts.mapInArrow(_cut_rows(window, True), "ord long, n_removed long, sha_kept string, kept_text string").dropDuplicates(["ord"]), "cut").select(F.col("ord").alias("__cut"), F.col("kept_text").alias("__kept"))
+    cut = staged(texts.mapInArrow(tidied(_cut_rows(window, True)), "ord long, n_removed long, sha_kept string, kept_text string").dropDuplicates(["ord"]), "cut").select(F.col("ord").alias("__cut"), F.col("kept_text").alias("__kept"))
     plain = by_ids(keyed, cut.select(F.col("__cut").alias("__ord")), "__ord", "left_anti")
     mended = by_ids(keyed, cut.select(F.col("__cut").alias("__ord")), "__ord", "left_semi").join(cut, F.col("__ord") == F.col("__cut")).where(F.col("__kept") != "").withColumn("text", F.col("__kept"))
     if "n_chars" in docs.columns:

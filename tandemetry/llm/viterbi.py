@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandemetry.llm.common import tidied
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Parts that a worker remembers; then it forgets all and begins anew.
@@ -119,4 +121,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             got = [counter.count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c for _, c, _ in got], pa.int64()), pa.array([o for *_, o in got], pa.int64()), pa.array([s for s, _, _ in got], pa.float64())], ["doc_id", "n_tokens", "n_unknown", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_unknown long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, n_unknown long, score double")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemetry.llm.common import fresh_path, staged
+from tandemetry.llm.common import fresh_path, staged, tidied
 
 REVISIT_BYTES = 1000
 CHUNK = 1 << 18
@@ -143,7 +143,7 @@ def write_archives(plan: DataFrame, folder: str | None = None) -> tuple[str, Dat
         names, counts, sizes = zip(*archives.done, strict=True) if archives.done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["archive", "n_records", "n_bytes"])
 
-    return folder, staged(plan.mapInArrow(run, "archive string, n_records long, n_bytes long"), "archives")
+    return folder, staged(plan.mapInArrow(tidied(run), "archive string, n_records long, n_bytes long"), "archives")
 
 
 class _Stream:
@@ -248,7 +248,7 @@ def read_chunks(folder: str, archives: DataFrame, size: int = CHUNK) -> DataFram
                     yield table(rows)
 
     paths = archives.select("archive")
-    return paths.repartition(max(1, paths.count())).mapInArrow(run, CHUNKS)
+    return paths.repartition(max(1, paths.count())).mapInArrow(tidied(run), CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
