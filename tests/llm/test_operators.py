@@ -217,3 +217,24 @@ def test_main_text_leaves_boilerplate_out():
     <aside>Related reading</aside><section id="comments"><p>Great post, thanks!</p></section><div class="ad">Buy now</div><footer>&copy; me</footer></body></html>"""
     assert html_paths.main_text(page) == "The & title\n\nFirst bold, then more text, with commas, and stops.\n\nShort.\n\nQuoted words, at some length, here."
     assert html_paths.main_text(None) == "" and html_paths.main_text("just text") == "just text"
+
+
+@pytest.mark.parametrize("block", [256, 4, 1])
+def test_classes_of_a_hot_group_at_any_block_size(spark, monkeypatch, block):
+    rng, rows = random.Random(3), []
+    for i in range(90):
+        words = [f"w{k}" for k in range(120)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(120)] = f"x{rng.random()}"
+        rows.append((i, words))
+    bags = [Counter(zip(*(w[k:] for k in range(5)), strict=False)) for _, w in rows]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if bags[a] != bags[b] and (s := (bags[a] & bags[b]).total()) < 0.8 * (232 - s) - 1e-9:
+                continue
+            x, y = sorted((want[a], want[b]))
+            want = [x if c == y else c for c in want]
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
+    docs = frame(spark, [(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in bagminhash.classes(docs).collect()} == set(enumerate(want))
