@@ -232,7 +232,18 @@ add(
 )
 add("keyword_rates", f"with {UT}, w as (select pid, speaker, sum(b - a) / 60e0 as minutes, sum((length(text) - length(replace(text, 'the', ''))) / 3) as hits from ut group by pid, speaker) select pid, speaker, cast(hits as bigint) as hits, round(hits / minutes, 4) as per_min from w")
 add("clipped_utterances", f"with {UT}, c as (select pid, speaker, greatest(a, 10e0) as a, least(b, 60e0) as b from ut) select pid, speaker, count(*) as n, round(sum(b - a), 4) as kept from c where b - a > 0.05e0 group by pid, speaker")
-add("speech_masks", f"with {UT}, fr as (select pid, s * 2.5e-1 as t from (select pid, @series(0, 100) as s from (select distinct pid from ut) q) z), m as (select fr.pid, fr.t, bool_or(speaker = 'child') as child, bool_or(speaker = 'examiner') as examiner from fr left join ut on fr.pid = ut.pid and fr.t >= ut.a - 0.125e0 and fr.t < ut.b + 0.125e0 group by fr.pid, fr.t) select pid, count(*) filter (where child) as child, count(*) filter (where examiner) as examiner, count(*) filter (where not coalesce(child, false) and not coalesce(examiner, false)) as silence from m group by pid")
+
+
+def frames(pad: str = "0e0") -> str:
+    """CTEs of 0.25 s frames from 0 to each conversation's last utterance (fe: the last frame) and of those that speech covers, by speaker (cv)."""
+    return (
+        "fe as (select pid, cast(floor(coalesce(max(b), 0e0) / 25e-2) as int) as last from ut group by pid),"
+        f" cv as (select pid, speaker, @series(lo, hi) as s from (select ut.pid, speaker, greatest(0, cast(ceil((a - {pad}) / 25e-2) as int)) as lo, least(last, cast(ceil((b + {pad}) / 25e-2) as int) - 1) as hi from ut join fe on ut.pid = fe.pid where a is not null and b is not null) z where lo <= hi),"
+        " fs as (select pid, s, bool_or(speaker = 'child') as child, bool_or(speaker = 'examiner') as examiner from cv group by pid, s)"
+    )
+
+
+add("speech_masks", f"with {UT}, {frames('0.125e0')} select fe.pid, count(*) filter (where child) as child, count(*) filter (where examiner) as examiner, last + 1 - count(*) filter (where child or examiner) as silence from fe left join fs on fe.pid = fs.pid group by fe.pid, last")
 
 # Grid and kinematics
 

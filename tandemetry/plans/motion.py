@@ -7,7 +7,7 @@ and right wrist, left and right elbow) and the eleventh the shoulder width.
 
 from __future__ import annotations
 
-from tandemetry.plans.catalog import CORR, EV, FEAT, TURNS, UT, add, rank
+from tandemetry.plans.catalog import CORR, EV, FEAT, TURNS, UT, add, frames, rank
 
 POSE = (
     "ps as (select vec_id % 50 as pid, @div(vec_id, 50) as slot, j, cast(@at(embedding, 2 * j - 1) as double) as x, cast(@at(embedding, 2 * j) as double) as y, abs(cast(@at(embedding, 11) as double)) + 5e-2 as w"
@@ -41,8 +41,8 @@ add(
 )
 
 _FRAMES = (
-    f"{UT}, fr as (select pid, s, s * 25e-2 as t, ((s * 37 + pid) % 23) / 10e0 as motion, ((s * 53 + pid * 7) % 31) - 15e0 as pitch from (select pid, @series(0, 200) as s from (select distinct pid from ut) q) z),"
-    " fm as (select fr.pid, fr.s, fr.motion, fr.pitch, coalesce(bool_or(speaker = 'child'), false) as own, coalesce(bool_or(speaker = 'examiner'), false) as other from fr left join ut on fr.pid = ut.pid and fr.t >= ut.a and fr.t < ut.b group by fr.pid, fr.s, fr.motion, fr.pitch)"
+    f"{UT}, {frames()}, fr as (select pid, s, ((s * 37 + pid) % 23) / 10e0 as motion, ((s * 53 + pid * 7) % 31) - 15e0 as pitch from (select pid, @series(0, last) as s from fe) z),"
+    " fm as (select fr.pid, fr.s, fr.motion, fr.pitch, coalesce(child, false) as own, coalesce(examiner, false) as other from fr left join fs on fr.pid = fs.pid and fr.s = fs.s)"
 )
 _IN = "case when count(*) filter (where {0}) > 16 then avg(case when {0} then motion end) end"
 add(
