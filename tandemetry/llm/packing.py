@@ -9,10 +9,14 @@ the plan by their rank among pieces of their length; ranks are counted per
 (length, salt), so a hot length is spread over all tasks.
 
 The plan is a branch-and-bound over fillings around the largest piece left:
-undominated fillings are enumerated in order of waste, best-fit decreasing over
-the histogram is the first incumbent, and a branch is cut when its waste already
-costs as many sequences as the incumbent; an incumbent at the lower bound is optimal.  NODES bounds the search; the
-incumbent stands if it ends the search.
+all undominated fillings are enumerated lazily in order of waste, each with every
+number of times it can be used, best-fit decreasing over the histogram is the
+first incumbent, and a branch is cut when its waste already costs as many
+sequences as the incumbent; an incumbent at the lower bound is optimal, and so is
+one that outlasts the search.  A search of likely fillings
+comes first, for a good incumbent.
+NODES bounds both; the incumbent stands if it ends the second, and the gap to the
+lower bound is logged.
 
 Defined results: a null text is empty; every document ends with token 0, so an
 empty one is one piece of length 1; repeated rows are packed each; an empty
@@ -21,6 +25,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from tandemetry.llm.common import drop_staged, shards, staged, tidied
 
 CAPACITY = 2048
-#: Fillings that the search may try in all, and alternatives kept at each step.
+#: Fillings that each search may try in all, and likely ones kept at each step.
 NODES, WIDTH = 6000, 3
 #: Entries that each of the tokenizer's memos holds before it begins anew.
 MEMO = 200_000
@@ -121,8 +126,77 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated sets of further pieces for `room`, least waste first, then largest first piece."""
+def fillings(counts: np.ndarray, room: int, most: int, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Waste and further pieces of every undominated filling of `room` that wastes at most `most`, least waste first, then largest first piece.
+
+    A filling is dominated when a piece left over could stand in for one or two of its own.  Lazy: sums that the
+    pieces from each length down can reach lead the search, and each filling looked at takes one from `budget`.
+    """
+    if room <= 0 or counts[room]:
+        yield 0, (room,) if room > 0 else ()  # a perfect fit by one piece dominates all others
+        return
+    have = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1] if x]
+    n = {x: int(counts[x]) for x in have}
+    every = (1 << (room + 1)) - 1
+    reach = [1]  # reach[i], once turned: sums of pieces of have[i:], as bits
+    for x in reversed(have):
+        sums, left, step = reach[-1], min(n[x], room // x), 1
+        while left:
+            step = min(step, left)
+            sums |= (sums << (step * x)) & every
+            left -= step
+            step *= 2
+        reach.append(sums)
+    reach.reverse()
+
+    def exact(i: int, target: int) -> Iterator[list[tuple[int, int]]]:
+        """(length, times) of the sets of have[i:] with this sum, largest pieces first."""
+        if not target:
+            yield []
+            return
+        for k in range(i, len(have)):
+            if not reach[k] >> target & 1:
+                return
+            x = have[k]
+            for times in range(min(n[x], target // x), 0, -1):
+                if reach[k + 1] >> (target - times * x) & 1:
+                    for rest in exact(k + 1, target - times * x):
+                        yield [(x, times), *rest]
+
+    def dominated(used: list[tuple[int, int]], waste: int) -> bool:
+        spare = dict(n)
+        for x, times in used:
+            spare[x] -= times
+        free = 0
+        for x in have:
+            if spare[x]:
+                free |= 1 << x
+        if free & ((2 << waste) - 1):
+            return True  # a piece left over fits beside them
+        for k, (x, times) in enumerate(used):
+            if free >> (x + 1) & ((1 << waste) - 1):
+                return True  # a larger piece in the place of x
+            for y, more in used[k:]:
+                if (y != x or more > 1) and free >> (x + y) & ((2 << waste) - 1):
+                    return True  # one piece in the place of x and y
+        return False
+
+    small = 0  # pieces of at most the waste must all be used: one left over would fit
+    for waste in range(min(most, room) + 1):
+        small += waste * n.get(waste, 0)
+        if small > room - waste:
+            return
+        if reach[0] >> (room - waste) & 1:
+            for used in exact(0, room - waste):
+                if budget[0] <= 0:
+                    return
+                budget[0] -= 1
+                if not dominated(used, waste):
+                    yield waste, tuple(x for x, times in used for _ in range(times))
+
+
+def likely(counts: np.ndarray, room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
+    """Some good sets of further pieces for `room`, least waste first, then largest first piece: for a first incumbent alone."""
     if room <= 0:
         return [()]
     if counts[room]:
@@ -208,61 +282,81 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] += n
-    lengths = np.arange(capacity + 1)
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_bins = sum(times for _, times in best)
     if best_bins <= bound:
         return best
-    # a step: largest piece, alternatives left, and what the one taken used
+    ended = False
+    for whole in (False, True):
+        budget = [nodes]
+        found = _search(counts.copy(), capacity, bound, best_bins, whole, budget)
+        if found:
+            best, best_bins = found, sum(times for _, times in found)
+        ended = best_bins > bound and budget[0] <= 0
+        if best_bins <= bound:
+            break
+    if ended:
+        logging.getLogger(__name__).warning("the search for a packing ended at %d fillings: %d sequences, lower bound %d", nodes, best_bins, bound)
+    return best
+
+
+def _search(counts: np.ndarray, capacity: int, bound: int, best_bins: int, whole: bool, budget: list[int]) -> list[tuple[tuple[int, ...], int]]:
+    """The best plan of fewer than best_bins sequences, if any: over all fillings and numbers of times, or over likely ones used as often as can be."""
+    best: list[tuple[tuple[int, ...], int]] = []
+    # a step: what is left of its fillings, the one taken and its number, the largest piece, and the filling that others must follow
     steps: list[list] = []
-    taken: list[tuple[tuple[int, ...], int]] = []
-    used, total, tried = 0, int((counts * lengths).sum()), 0
+    used, total = 0, int((counts * np.arange(capacity + 1)).sum())
 
-    def apply(pattern: tuple[int, ...]) -> int:
-        need: dict[int, int] = {}
+    def put(pattern: tuple[int, ...], times: int) -> None:
         for x in pattern:
-            need[x] = need.get(x, 0) + 1
-        times = min(int(counts[x]) // k for x, k in need.items())
-        for x, k in need.items():
-            counts[x] -= k * times
-        return times
+            counts[x] -= times
 
     while True:
         left = np.flatnonzero(counts)
-        alive = len(left) > 0
-        if alive and tried < nodes and used + -(-total // capacity) < best_bins:
-            tried += 1
+        spare = (best_bins - 1 - used) * capacity - total  # what a plan that beats the incumbent may yet waste
+        if not len(left) and used < best_bins:
+            best, best_bins = [(step[1], step[2]) for step in steps], used
+            if best_bins <= bound:
+                return best
+        elif len(left) and spare >= 0 and budget[0] > 0:
             largest = int(left[-1])
             counts[largest] -= 1
-            options = fillings(counts, capacity - largest)
+            if whole:
+                options = fillings(counts.copy(), capacity - largest, spare, budget)
+            else:
+                budget[0] -= 1
+                options = iter([(capacity - largest - sum(f), f) for f in likely(counts, capacity - largest)])
             counts[largest] += 1
-            steps.append([largest, options[1:][::-1], None])
-            choice = options[0]
-        else:
-            if not alive and used < best_bins:
-                best, best_bins = list(taken), used
-            if best_bins <= bound:
-                break
-            # back to the nearest step with an alternative
-            choice = None
-            while steps and choice is None:
-                pattern, times = taken.pop()
-                for x in pattern:
-                    counts[x] += times
+            # sequences around equal pieces are taken in the order of the fillings
+            floor = (capacity - sum(steps[-1][1]), [-x for x in steps[-1][1]]) if whole and steps and steps[-1][3] == largest else None
+            steps.append([options, (), 0, largest, floor])
+        # the next choice of the last step: the same filling once less often, or the next filling
+        while steps:
+            options, pattern, times, largest, floor = steps[-1]
+            if times:
+                put(pattern, -times)
                 used, total = used - times, total + times * sum(pattern)
-                if steps[-1][1] and tried < nodes:
-                    choice = steps[-1][1].pop()
-                    largest = steps[-1][0]
-                else:
-                    steps.pop()
-            if choice is None:
+                times = times - 1 if whole and budget[0] > 0 else 0
+                budget[0] -= times > 0
+            spare = (best_bins - 1 - used) * capacity - total
+            while not times and (found := next(options, None)):
+                waste, rest = found
+                pattern = (largest, *rest)
+                if whole and waste > spare:
+                    break
+                if floor is None or (waste, [-x for x in pattern]) > floor:
+                    times = min(int(counts[x]) // pattern.count(x) for x in set(pattern))
+                    if whole and waste:
+                        times = min(times, spare // waste)
+            if times:
+                put(pattern, times)
+                used, total = used + times, total - times * sum(pattern)
+                steps[-1][1:3] = [pattern, times]
                 break
-        pattern = (largest, *choice)
-        times = apply(pattern)
-        taken.append((pattern, times))
-        used, total = used + times, total - times * sum(pattern)
-    return best
+            steps.pop()
+        if not steps:
+            return best
 
 
 def _dealt(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

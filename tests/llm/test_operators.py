@@ -238,3 +238,30 @@ def test_classes_of_a_hot_group_at_any_block_size(spark, monkeypatch, block):
     monkeypatch.setattr(bagminhash, "BLOCK", block)
     docs = frame(spark, [(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in bagminhash.classes(docs).collect()} == set(enumerate(want))
+
+
+def fewest_sequences(pieces, capacity):
+    """Optimum by trying every sequence for every piece, largest first."""
+
+    def fits(k, rooms):
+        if k == len(pieces):
+            return True
+        for at in {room: i for i, room in enumerate(rooms)}.values():
+            if rooms[at] >= pieces[k] and fits(k + 1, [r - pieces[k] * (i == at) for i, r in enumerate(rooms)]):
+                return True
+        return False
+
+    pieces = sorted(pieces, reverse=True)
+    return next(n for n in range(len(pieces) + 1) if fits(0, [capacity] * n))
+
+
+def test_bin_completion_tries_every_undominated_filling():
+    hot = packing.plan({1000: 7, 318: 7, 280: 7, 250: 7, 200: 7})
+    assert hot == [((1000, 318, 280, 250, 200), 7)]
+    for seed in range(150):
+        rng = random.Random(seed)
+        lengths = [rng.randrange(8, 60) for _ in range(rng.randrange(3, 6))]
+        pieces = [rng.choice(lengths) for _ in range(12)]
+        found = packing.plan(Counter(pieces), 100, 10**6)
+        assert Counter(x for pattern, times in found for x in pattern * times) == Counter(pieces) and all(sum(pattern) <= 100 for pattern, _ in found)
+        assert sum(times for _, times in found) == fewest_sequences(pieces, 100)
