@@ -293,7 +293,7 @@ add("mask_halves", f"with {EV}, m as (select pid, x, row_number() over (partitio
 _SERIES = "fl as (select vec_id, i, @at(embedding, i) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings) z)"
 add(
     "cross_correlation_peak",
-    f"with {_SERIES}, lg as (select @series(-6, 6) as lag), pr as (select a.vec_id, lag, cast(a.v as double) as x, cast(b.v as double) as y from fl a cross join lg join fl b on b.vec_id = a.vec_id + 1 and b.i = a.i + lag),"
+    f"with {_SERIES}, lg as (select @series(-12, 12) as lag), pr as (select a.vec_id, lag, cast(a.v as double) as x, cast(b.v as double) as y from fl a cross join lg join fl b on b.vec_id = a.vec_id + 1 and b.i = a.i + lag),"
     " c as (select vec_id, lag, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as r from pr group by vec_id, lag having count(*) >= 16), k as (select *, row_number() over (partition by vec_id order by round(abs(r), 9) desc, lag) as i from c where r is not null) select vec_id, cast(lag as bigint) as lag, round(r, 6) + 0.0 as r from k where i = 1",
 )
 add(
