@@ -173,7 +173,7 @@ add(
     f"with {_BOOT}, zz as (select rep, b.task, c.n - 3 as w, atanh(greatest(-0.999999e0, least(0.999999e0, rho))) as z from bc b join (select task, count(*) as n from g group by task) c on b.task = c.task), m as (select task, avg(z) as zt from zz group by task),"
     " k as (select rep, zz.task, w, z - zt as z from zz join m on zz.task = m.task), b2 as (select rep, sum(w * z) / sum(w) as zbar from k group by rep) select cast(k.rep as bigint) as rep, round(sum(w * (z - zbar) * (z - zbar)), 6) + 0.0 as q from k join b2 on k.rep = b2.rep group by k.rep",
 )
-add("jackknife", f"with {_PAIRED}, few as (select * from g where task = 'click'), f as (select a.pid as fold, b.x, b.y from few a join few b on a.pid <> b.pid), r as (select fold, {rank('x', 'fold')} as rx, {rank('y', 'fold')} as ry from f) select fold, round({CORR}, 6) + 0.0 as rho from r group by fold")
+add("jackknife", f"with {_PAIRED}, f as (select a.task, a.pid as fold, b.x, b.y from g a join g b on a.task = b.task and a.pid <> b.pid), r as (select task, fold, {rank('x', 'task, fold')} as rx, {rank('y', 'task, fold')} as ry from f) select task, fold, round({CORR}, 6) + 0.0 as rho from r group by task, fold")
 
 # Intervals and conversation
 
