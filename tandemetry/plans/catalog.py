@@ -309,7 +309,8 @@ add(
     " ra as (select vec_id, @pct(d, 0.05) as rad, count(*) as cells from ds group by vec_id), rc as (select ds.vec_id, i, j from ds join ra on ds.vec_id = ra.vec_id where d <= rad), dl as (select vec_id, i - j as dg, i - row_number() over (partition by vec_id, i - j order by i) as k from rc), ln as (select vec_id, dg, k, count(*) as len from dl group by vec_id, dg, k)"
     " select ln.vec_id, round(sum(len) / cast(max(cells) as double), 6) as rr, round(sum(case when len >= 2 then len else 0 end) / cast(sum(len) as double), 6) as det, max(len) as maxline from ln join ra on ln.vec_id = ra.vec_id group by ln.vec_id",
 )
-add("theil_sen", f"with {EV}, p as (select pid, t / 86400e0 as t, x, row_number() over (partition by pid order by t, event_id) as i from ev) select a.pid, count(*) as n, round(@pct((b.x - a.x) / (b.t - a.t), 0.5), 5) + 0.0 as slope from p a join p b on a.pid = b.pid and a.i < b.i and b.i <= 400 and abs(b.t - a.t) >= 1e-9 group by a.pid")
+# the study takes a random 400 of more points
+add("theil_sen", f"with {EV}, p as (select pid, t / 86400e0 as t, x, row_number() over (partition by pid order by md5(concat(pid, ':', event_id)), event_id) as i from ev where x is not null) select a.pid, count(*) as n, round(@pct((b.x - a.x) / (b.t - a.t), 0.5), 5) + 0.0 as slope from p a join p b on a.pid = b.pid and a.i < b.i and b.i <= 400 and abs(b.t - a.t) >= 1e-9 group by a.pid")
 add(
     "welch_segment",
     "with fl as (select vec_id, i - 1 as i, cast(@at(embedding, i) as double) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings) z), h as (select vec_id, i, (v - avg(v) over (partition by vec_id)) * (5e-1 - 5e-1 * cos(2 * pi() * i / 63)) as v from fl), k as (select @series(1, 32) as k),"
