@@ -148,19 +148,19 @@ add(
 add("p_ranks", f"with {_PAIRED}, p as (select pid, round(avg(x), 0) as p from g group by pid) select pid, p, cast(rank() over (order by p) as bigint) as min_rank, {rank('p')} as mean_rank from p")
 add(
     "half_stability",
-    f"with {_PAIRED}, b as (select rep, pid, task, x, y, row_number() over (partition by task, rep order by md5(concat(rep, ':', pid)), pid) as slot, count(*) over (partition by task, rep) as n from g, (select @series(1, 40) as rep) s),"
+    f"with {_PAIRED}, b as (select rep, pid, task, x, y, row_number() over (partition by task, rep order by md5(concat(rep, ':', pid)), pid) as slot, count(*) over (partition by task, rep) as n from g, (select @series(1, 200) as rep) s),"
     f" h as (select task, rep, case when slot <= floor(n / 2) then 1 when slot <= 2 * floor(n / 2) then 2 end as half, x, y, n from b where n >= 10), r as (select task, rep, half, {rank('x', 'task, rep, half')} as rx, {rank('y', 'task, rep, half')} as ry from h where half is not null),"
     f" c as (select task, rep, half, {CORR} as rho from r group by task, rep, half), q as (select task, rep, min(rho) as lo, max(rho) as hi, count(rho) as k from c group by task, rep)"
-    " select task, round(sum(case when k = 2 and (lo >= 2e-1 or hi <= -2e-1) then 1e0 else 0e0 end) / 40, 6) as stability from q group by task",
+    " select task, round(sum(case when k = 2 and (lo >= 2e-1 - 1e-12 or hi <= -2e-1 + 1e-12) then 1e0 else 0e0 end) / 200, 6) as stability from q group by task",
 )
 add(
     "null_threshold",
-    f"with {_PAIRED}, g1 as (select pid, task, x, y, row_number() over (partition by task order by pid) as own from g), sh as (select s.shuffle, g1.*, row_number() over (partition by task, s.shuffle order by md5(concat('y', s.shuffle, ':', pid)), pid) as slot from g1, (select @series(1, 5) as shuffle) s),"
+    f"with {_PAIRED}, g1 as (select pid, task, x, y, row_number() over (partition by task order by pid) as own from g), sh as (select s.shuffle, g1.*, row_number() over (partition by task, s.shuffle order by md5(concat('y', s.shuffle, ':', pid)), pid) as slot from g1, (select @series(1, 50) as shuffle) s),"
     " g2 as (select a.shuffle, a.task, a.pid, a.x, b.y from sh a join sh b on a.task = b.task and a.shuffle = b.shuffle and a.slot = b.own),"
-    " b as (select rep, shuffle, pid, task, x, y, row_number() over (partition by task, shuffle, rep order by md5(concat(rep, ':', pid)), pid) as slot, count(*) over (partition by task, shuffle, rep) as n from g2, (select @series(1, 10) as rep) s),"
+    " b as (select rep, shuffle, pid, task, x, y, row_number() over (partition by task, shuffle, rep order by md5(concat(rep, ':', pid)), pid) as slot, count(*) over (partition by task, shuffle, rep) as n from g2, (select @series(1, 200) as rep) s),"
     f" h as (select task, shuffle, rep, case when slot <= floor(n / 2) then 1 when slot <= 2 * floor(n / 2) then 2 end as half, x, y from b), r as (select task, shuffle, rep, half, {rank('x', 'task, shuffle, rep, half')} as rx, {rank('y', 'task, shuffle, rep, half')} as ry from h where half is not null),"
     f" c as (select task, shuffle, rep, half, {CORR} as rho from r group by task, shuffle, rep, half), q as (select task, shuffle, rep, min(rho) as lo, max(rho) as hi, count(rho) as k from c group by task, shuffle, rep),"
-    " st as (select task, shuffle, sum(case when k = 2 and (lo >= 2e-1 or hi <= -2e-1) then 1e0 else 0e0 end) / 10 as s from q group by task, shuffle) select task, round(@pct(s, 0.95), 6) as tau from st group by task",
+    " st as (select task, shuffle, sum(case when k = 2 and (lo >= 2e-1 - 1e-12 or hi <= -2e-1 + 1e-12) then 1e0 else 0e0 end) / 200 as s from q group by task, shuffle) select task, round(@pct(s, 0.95), 6) as tau from st group by task",
 )
 _BOOT = f"{_PAIRED}, g1 as (select *, row_number() over (partition by task order by pid) - 1 as own, count(*) over (partition by task) as n from g), bs as (select s.rep, a.task, @draw(concat(s.rep, ':', a.task, ':', a.own)) % a.n as pick from g1 a, (select @series(1, 60) as rep) s), bx as (select b.rep, b.task, g1.x, g1.y from bs b join g1 on g1.task = b.task and g1.own = b.pick), br as (select rep, task, {rank('x', 'rep, task')} as rx, {rank('y', 'rep, task')} as ry from bx), bc as (select rep, task, {CORR} as rho from br group by rep, task)"
 add("bootstrap_ci", f"with {_BOOT} select task, count(rho) as n_boot, round(@pct(rho, 0.025), 6) + 0.0 as lo, round(@pct(rho, 0.975), 6) + 0.0 as hi, @pct(rho, 0.025) > 0 or @pct(rho, 0.975) < 0 as excludes_zero from bc group by task")
