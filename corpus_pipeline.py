@@ -19,12 +19,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the smallest doc_id; of repeated rows, one."""
+    """One document of each class stays, that of the smallest doc_id; of repeated rows, one.
+
+    A row without a doc_id is of the class of its equal texts alone: one such row stays where none of them has a doc_id.
+    """
     classes = bagminhash.classes(docs)
     others = staged(classes.where("doc_id is null or doc_id <> class_id").select("doc_id").distinct(), "others")
     repeated = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
     kept = by_ids(docs.where(F.col("doc_id").isNotNull()), others.where("doc_id is not null"), "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if docs.where("doc_id is null").limit(1).count():
+        keyed = bagminhash.keyed(docs)
+        known = keyed.where("doc_id is not null").select("k1", "k2").distinct()
+        nameless = keyed.where("doc_id is null").dropDuplicates(["k1", "k2"]).join(known, ["k1", "k2"], "left_anti")
+        kept = kept.unionByName(nameless.select(*docs.columns))
+    return kept
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandemetry.llm import kernels as K
 from tandemetry.llm.common import by_ids, drop_staged, staged, tidied
@@ -134,6 +135,18 @@ def _sign(batches):
             )
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Every row with k1 and k2, which are equal for equal word sequences."""
+
+    def run(batches):
+        for batch in batches:
+            for a, n, h, first in _slices(batch):
+                keys = (pa.array(k.view(np.int64)) for k in K.sequence_key(h, first))
+                yield pa.RecordBatch.from_arrays([*(_column(batch, c).slice(a, n) for c in batch.schema.names), *keys], [*batch.schema.names, "k1", "k2"])
+
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())]))
+
+
 def bag(h: np.ndarray) -> np.ndarray:
     """A multiset of shingles as a sorted set: the k-th copy of a shingle is an entry of its own."""
     h = np.sort(h)

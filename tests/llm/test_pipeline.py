@@ -12,3 +12,11 @@ def test_stages_keep_columns_and_whole_rows(spark):
         ids = set(kept)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert set(packed.doc_id) == ids
+
+
+def test_one_row_without_an_id_stays_where_no_equal_text_has_one(spark):
+    import corpus_pipeline
+
+    rows = [(None, "a text that nobody else has", "s"), (None, "twice  and nameless", "s"), (None, "twice and nameless", "s"), (None, "also named", "s"), (7, "also named", "s"), (9, "also  named", "s"), (8, "something else again", "s")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), None).collect()
+    assert sorted((r.doc_id or 0, " ".join(r.text.split())) for r in got) == [(0, "a text that nobody else has"), (0, "twice and nameless"), (7, "also named"), (8, "something else again")]
