@@ -1,15 +1,28 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text blocks.  Each block has the path of block tags
-from the root.  Text length and punctuation are aggregated per path, divided by
-the blocks on it, smoothed along the page, fused with the path's own ratio and
-thresholded by their spread.  The blocks above the threshold are the seeds; the
-element that holds nearly all of their text is the content root, and every block
-of it that is neither boilerplate by its markup nor made of links is text.
-
-Defined results: a null or empty page has the empty text and 0 characters.  A
-page without markup is one block.  Unclosed and stray tags are tolerated as
-browsers do.  Nothing is capped; repeated rows give repeated results.
+A page is read once into text blocks.  Each block belongs to the path of block
+tags, with their classes, from the root; paths are the nodes of a trie, so a
+block costs the same at any depth.  Per path, text length outside links and
+punctuation are aggregated over its blocks:
+
+    ratio = (characters - link characters) / blocks * (1 + punctuation / blocks)
+
+Markup names enter as one weight: a path through an element whose tag or class
+speaks of a menu, header, footer, sidebar, notice, advert, form or of reader
+comments, or one outside the article element that holds the densest path, counts
+for less.  No name can drop the densest path: what is said on the way to it does
+not count, for any path.  Weighted ratios are smoothed along the page, averaged
+again per path, fused with the path's own ratio (geometric mean) and its share of
+link text, and compared with the densest path.  Paths at CUT or above are content; so are those
+with enough weight inside the element that holds a content path, or in the
+article element, for headings and short blocks have low ratios of their own.
+
+Defined results: a null or empty page, and one of links alone, has the empty text
+and 0 characters.  A page without markup is one block.  Unclosed and stray tags
+are tolerated as browsers do; an unclosed quote, comment or CDATA section ends
+with the page.  Time is linear in the page, however deep or broken it is.  Nothing
+is capped; repeated rows give repeated results, an empty table an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +30,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from math import exp
+from math import exp, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,174 +38,291 @@ from pyspark.sql import functions as F
 
 from tandemetry.llm.common import tidied
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+(?:=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？]")
+LETTERS = re.compile(r"[a-z]+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
-# Element names by their role in HTML, and words that name boilerplate in class, id and role.
+# Element names by their role in HTML, and words that name page furniture in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg canvas object textarea select math audio video".split())
-BLOCK = frozenset("address article aside blockquote body br-block center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-BOILERPLATE = frozenset("head nav footer aside form menu dialog button fieldset title".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+BLOCK = frozenset(
+    "address article aside audio blockquote body button canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main math menu nav "
+    "noscript object ol optgroup option p pre section select summary svg table tbody td template tfoot th thead tr ul video".split()
+)
+FURNITURE = frozenset("aside audio button canvas dialog fieldset footer form math menu nav noscript object select svg template video".split())
+SEMANTIC = frozenset("article main".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption summary tr tbody thead tfoot table ul ol dl".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEVER = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
-CLOSES_P = BLOCK - frozenset("body head html option optgroup title".split())
+CLOSES_P = BLOCK - frozenset("audio body button canvas head html math noscript object optgroup option select svg template video".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
+P_STOPS, P_ENDS = ("button", "table", "td", "th"), ("div", "article", "section", "td", "body")
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright "
-    "dialog disclaimer disqus footer gdpr header infobox login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay "
-    "pager pagination popup privacy promo promoted promotion reader recommended related reply replies respond search share sharing sidebar signup "
-    "site-header skip social sponsor sponsored subscribe subscription tags teaser toast toolbar topbar trending widget contentinfo complementary".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination toolbar topbar skip header masthead footer copyright colophon contentinfo sidebar complementary widget related recommended trending teaser "
+    "notice notices notification notifications alert banner cookie cookies consent gdpr privacy popup modal overlay toast dialog ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion "
+    "login signup search newsletter subscribe subscription comment comments disqus reply replies respond share sharing social".split()
 )
-#: Share of the seeds' text that the content root must hold; share of link text beyond which a path is no content.
-ROOT_SHARE, LINK_SHARE = 0.9, 0.5
-#: Standard deviations of the fused ratio at which a path is content.
-CUT = 0.5
+#: Share of the densest path's fused ratio at which a path is content.
+CUT = 0.25
+#: Weight of a path through page furniture, or outside the article element: in the ratios, and in the choice of the densest path.
+WEIGHT, DOUBT = 0.2, 0.3
+#: Share of the densest path's text that a content path needs for its element to lend its weight to what else it holds.
+HOLDS = 0.25
+KERNEL = tuple(exp(-(d * d) / 2) for d in range(3))
 
 
 class Block:
-    __slots__ = ("chars", "chain", "links", "path", "punctuation", "text")
+    __slots__ = ("links", "path", "text")
+
+    def __init__(self, text: str, path: int, links: int):
+        self.text, self.path, self.links = text, path, links
+
+
+class Paths:
+    """A trie of block tags with their classes.  A node's parent has a smaller number; node 0 is the root."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.furniture, self.article = [0], [""], [False], [0]
+        self.container = [0]  # the element that a path's text stands in: above the tags that hold one piece of text each
+        self.known: dict[tuple[int, str, bool], int] = {}
+
+    def child(self, parent: int, tag: str, label: str, furniture: bool) -> int:
+        key = (parent, label, furniture)
+        node = self.known.get(key)
+        if node is None:
+            node = self.known[key] = len(self.tag)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.furniture.append(furniture)
+            self.article.append(node if tag in SEMANTIC else self.article[parent])
+            self.container.append(self.container[parent] if tag in LEAVES else node)
+        return node
+
+    def above(self, node: int) -> list[int]:
+        out = []
+        while node:
+            out.append(node)
+            node = self.parent[node]
+        return out
+
+
+def _described(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
+    """The label of an element, and whether its markup speaks of page furniture."""
+    furniture = tag in FURNITURE or tag == "header" and not inside
+    label = tag
+    if attrs and tag not in ("html", "body"):
+        for name, value in ATTRIBUTE.findall(attrs):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name in ("class", "id", "role"):
+                words = LETTERS.findall(value)
+                furniture = furniture or tag not in HEADINGS and not WORDS.isdisjoint(words)
+                if name == "class" and tag not in LEAVES:
+                    label += "." + " ".join(words)
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and UNSEEN.search(value):
+                furniture = True
+    return label, furniture
+
+
+class _Reader:
+    """One pass over a page's markup."""
+
+    def __init__(self, page: str):
+        self.page, self.paths, self.blocks = page, Paths(), []
+        self.stack: list[tuple[str, int]] = []  # tag and path
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack of each tag
+        self.parts: list[str] = []
+        self.linked = 0
+        self.quotes, self.last = True, page.rfind(">")
+        self.ends: dict[str, re.Pattern] = {}
 
-    def __init__(self, text: str, path: str, chain: tuple[int, ...], links: int):
-        self.text, self.path, self.chain, self.links = text, path, chain, links
-        self.chars = len(text)
-        self.punctuation = len(PUNCTUATION.findall(text))
+    def at(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
 
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.blocks.append(Block(text, self.at(), min(self.linked, len(text))))
+            self.parts.clear()
+        self.linked = 0
 
-def _is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in BOILERPLATE or tag == "header" and not inside:
+    def say(self, text: str) -> None:
+        if text:
+            if "&" in text:
+                text = html.unescape(text)
+            self.parts.append(text)
+            if self.open["a"]:
+                self.linked += len(" ".join(text.split()))
+
+    def close(self, tag: str, stops: tuple[str, ...] = ()) -> bool:
+        places = self.open[tag]
+        if not places or any(self.open[s] and self.open[s][-1] > places[-1] for s in stops):
+            return False
+        k = places[-1]
+        if any(t in BLOCK for t, _ in self.stack[k:]):
+            self.flush()
+        while len(self.stack) > k:
+            self.open[self.stack.pop()[0]].pop()
         return True
-    if not attrs or tag in NEVER:
-        return False
-    for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role") and any(w in WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
-
-def blocks(page: str) -> tuple[list[Block], dict[int, str]]:
-    """Text blocks outside boilerplate markup in page order, and the tag of each element number."""
-    out: list[Block] = []
-    names: dict[int, str] = {}
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, element, boilerplate, inside the article
-    parts: list[str] = []
-    linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text and not (stack and stack[-1][2]):
-                out.append(Block(text, "/".join(t for t, *_ in stack if t in BLOCK), tuple(e for _, e, _, _ in stack), linked))
-            parts.clear()
-        linked = 0
-
-    def close(tag: str, stops: tuple[str, ...] = ()) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                if any(t in BLOCK for t, *_ in stack[k:]):
-                    flush()
-                del stack[k:]
-                return True
-            if stack[k][0] in stops:
-                return False
-        return False
-
-    def say(text: str) -> None:
-        nonlocal linked
-        if text and not (stack and stack[-1][2]):
-            text = html.unescape(text) if "&" in text else text
-            parts.append(text)
-            if any(t == "a" for t, *_ in stack):
-                linked += len(" ".join(text.split()))
-
-    at = 0
-    while m := MARKUP.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:-3]))
-            continue
-        if m[1] or m[4]:
-            if tag == "p" and not close("p", ("div", "article", "section", "td", "body")):
-                flush()
-            elif tag != "p":
-                close(tag)
-            continue
-        attrs = m[3] if m[2] else m[6]
-        if tag in VOID:
+
+    def tag_end(self, at: int) -> int:
+        """Place after the `>` that ends a tag, -1 if none does; quotes hide it while they can be closed."""
+        if at > self.last:
+            return -1
+        k = at
+        while self.quotes:
+            k = PLAIN.match(self.page, k).end()
+            if k >= len(self.page):
+                self.quotes = False  # this tag would swallow the page: from here on quotes hide nothing
+                break
+            if self.page[k] == ">":
+                return k + 1
+            end = self.page.find(self.page[k], k + 1)
+            if end < 0:
+                self.quotes = False
+                break
+            k = end + 1
+        return self.page.index(">", at) + 1
+
+    def read(self) -> tuple[list[Block], Paths]:
+        page, at = self.page, 0
+        while (lt := page.find("<", at)) >= 0:
+            if m := NAME.match(page, lt):
+                end = self.tag_end(m.end())
+                if end < 0:
+                    break
+                self.say(page[at:lt])
+                at = self.element(m[1].lower(), page[lt + 1] == "/", page[m.end() : end - 1], end)
+            elif page.startswith("<!--", lt) or page.startswith("<![CDATA[", lt):
+                self.say(page[at:lt])
+                data = page[lt + 2] == "["
+                end = page.find("]]>" if data else "-->", lt + 4)
+                if data:
+                    self.say(html.escape(page[lt + 9 : end if end >= 0 else len(page)]))
+                at = end + 3 if end >= 0 else len(page)
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/") and page[lt + 1 :]:
+                end = page.find(">", lt) if lt < self.last else -1
+                if end < 0:
+                    break
+                self.say(page[at:lt])
+                at = end + 1
+            else:
+                self.say(page[at : lt + 1])
+                at = lt + 1
+        self.say(page[at:])
+        self.flush()
+        return self.blocks, self.paths
+
+    def element(self, tag: str, closing: bool, attrs: str, at: int) -> int:
+        """Take one tag in; the place to go on from."""
+        if closing:
+            if tag == "p":
+                if not self.close("p", P_ENDS):
+                    self.flush()
+            elif tag == "br":
+                self.parts.append(" ")
+            else:
+                self.close(tag)
+        elif tag in VOID:
             if tag == "hr":
-                close("p", ("div", "article", "section", "td", "body"))
-                flush()
+                self.close("p", P_ENDS)
+                self.flush()
             elif tag == "br":
-                parts.append(" ")
-            continue
-        if tag in RAW:
+                self.parts.append(" ")
+        elif tag in RAW:
             if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if tag in CLOSES_P:
-            close("p", ("button", "table", "td", "th"))
-        if tag in SIBLINGS:
-            tags, stops = SIBLINGS[tag]
-            for t in tags.split():
-                close(t, stops)
-        if tag in BLOCK:
-            flush()
-        boiler, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        names[len(names)] = tag
-        stack.append((tag, len(names) - 1, boiler or _is_boilerplate(tag, attrs, inside), inside or tag in ("article", "main")))
-    say(page[at:])
-    flush()
-    return out, names
-
-
-def content(found: list[Block], names: dict[int, str]) -> list[Block]:
-    """Blocks of the content root, by tag-path ratios."""
-    if not found:
-        return []
-    paths: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+                end = self.ends.get(tag) or self.ends.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I))
+                found = end.search(self.page, at)
+                return found.end() if found else len(self.page)
+        else:
+            if tag in CLOSES_P:
+                self.close("p", P_STOPS)
+            if tag in SIBLINGS:
+                tags, stops = SIBLINGS[tag]
+                for t in tags.split():
+                    self.close(t, stops)
+            node = self.at()
+            if tag in BLOCK:
+                self.close("head")
+                self.flush()
+                label, furniture = _described(tag, attrs, bool(self.paths.article[node]))
+                node = self.paths.child(node, tag, label, furniture)
+            self.open[tag].append(len(self.stack))
+            self.stack.append((tag, node))
+        return at
+
+
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """Text blocks in page order, and the trie of their paths."""
+    return _Reader(page).read()
+
+
+def ratios(found: list[Block]) -> dict[int, tuple[float, float, float]]:
+    """For each path: its ratio, its share of link text, and its characters outside links."""
+    sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
-        p = paths[b.path]
-        p[0] += b.chars - b.links
-        p[1] += b.punctuation
-        p[2] += 1
-        p[3] += b.links
-    ratio = {k: max(0, chars) / n * (1 + punct / n) for k, (chars, punct, n, _) in paths.items()}
-    own = [ratio[b.path] for b in found]
-    kernel = [exp(-(d * d) / 2) for d in range(3)]
-    fused = []
-    for i in range(len(own)):
-        near = [(own[j], kernel[abs(i - j)]) for j in range(max(0, i - 2), min(len(own), i + 3))]
-        fused.append((own[i] + sum(v * w for v, w in near) / sum(w for _, w in near)) / 2)
-    mean = sum(fused) / len(fused)
-    cut = CUT * (sum((v - mean) ** 2 for v in fused) / len(fused)) ** 0.5
-    dense = {k for k, (chars, _, _, links) in paths.items() if links > LINK_SHARE * max(1, chars + links)}
-    seeds = [b for b, v in zip(found, fused, strict=True) if v >= cut and b.path not in dense] or [b for b in found if b.path not in dense]
-    if not seeds:
+        s = sums[b.path]
+        s[0] += len(b.text)
+        s[1] += b.links
+        s[2] += len(PUNCTUATION.findall(b.text))
+        s[3] += 1
+    return {p: ((chars - links) / n * (1 + punctuation / n), links / chars, chars - links) for p, (chars, links, punctuation, n) in sums.items()}
+
+
+def smoothed(values: list[float]) -> list[float]:
+    """Weighted means with the two neighbours on either side."""
+    out = []
+    for i in range(len(values)):
+        near = range(max(0, i - 2), min(len(values), i + 3))
+        out.append(sum(values[j] * KERNEL[abs(i - j)] for j in near) / sum(KERNEL[abs(i - j)] for j in near))
+    return out
+
+
+def content(found: list[Block], paths: Paths) -> list[Block]:
+    """Blocks of the paths that are content."""
+    measured = ratios(found)
+    nodes = range(1, len(paths.tag))
+    # the densest path: most text, doubted where markup speaks against it
+    doubted = [False] * len(paths.tag)
+    for node in nodes:
+        doubted[node] = doubted[paths.parent[node]] or paths.furniture[node]
+    semantic = any(paths.article[p] and not doubted[p] for p in measured)
+    mass = {p: chars * (DOUBT if doubted[p] else 1.0) * (DOUBT if semantic and not paths.article[p] else 1.0) for p, (_, _, chars) in measured.items()}
+    densest = max(mass, key=mass.__getitem__, default=None)
+    if densest is None or not mass[densest]:
         return []
-    held: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    for b in seeds:
-        for d, e in enumerate(b.chain):
-            held[e] += b.chars
-            depth[e] = d
-    total = sum(b.chars for b in seeds)
-    marked = [e for e in held if names[e] in ("article", "main") and held[e] >= 0.5 * total]
-    if marked:
-        root = max(marked, key=lambda e: (names[e] == "article", held[e], -depth[e]))
-    else:
-        root = max((e for e in held if held[e] >= ROOT_SHARE * total), key=lambda e: (depth[e], held[e]), default=None)
-        if root is not None and names[root] in HEADINGS | {"p", "li", "td", "dd", "dt", "blockquote", "pre"}:
-            chain = next(b.chain for b in seeds if root in b.chain)
-            root = chain[chain.index(root) - 1] if chain.index(root) else root
-    return [b for b in found if (root is None or root in b.chain) and (b.path not in dense or b.links <= LINK_SHARE * b.chars)]
+    spine = set(paths.above(densest)) | {0}
+    article = paths.article[densest]
+    outer = next((n for n in reversed(paths.above(densest)) if paths.tag[n] in SEMANTIC), 0)
+    inside, within = [not article] * len(paths.tag), [not outer] * len(paths.tag)
+    off = [False] * len(paths.tag)
+    for node in nodes:
+        up = paths.parent[node]
+        off[node] = off[up] or paths.furniture[node] and node not in spine
+        inside[node], within[node] = inside[up] or node == article, within[up] or node == outer
+    weight = {p: WEIGHT if off[p] or not (within[p] if paths.tag[p] == "h1" else inside[p]) else 1.0 for p in measured}
+    # ratios smoothed along the page and fused per path, as a share of the densest path's
+    own = {p: ratio * weight[p] for p, (ratio, _, _) in measured.items()}
+    along: dict[int, list[float]] = defaultdict(list)
+    for b, v in zip(found, smoothed([own[b.path] for b in found]), strict=True):
+        along[b.path].append(v)
+    fused = {p: sqrt(own[p] * sum(v) / len(v)) for p, v in along.items()}
+    best = fused[densest]
+    score = {p: weight[p] * (1 - measured[p][1]) * min(1.0, fused[p] / best) for p in measured}
+    chosen = {p for p in measured if p == densest or score[p] >= CUT}
+    # what else stands in an element that holds content, by its weight and links alone
+    holders = {paths.container[p] for p in chosen if measured[p][2] >= HOLDS * measured[densest][2]} | ({article} if article else set())
+    held = [0 in holders] * len(paths.tag)
+    for node in nodes:
+        held[node] = held[paths.parent[node]] or node in holders
+    title = not any(paths.tag[p] == "h1" and held[p] for p in measured)
+    for p in measured:
+        heads = title and paths.tag[p] == "h1" and (paths.parent[p] in spine or bool(outer) and within[p])
+        if (held[p] or heads) and weight[p] * (1 - measured[p][1]) >= CUT:
+            chosen.add(p)
+    return [b for b in found if b.path in chosen]
 
 
 def main_text(page: str | None) -> str:
@@ -207,4 +337,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
