@@ -19,20 +19,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the smallest doc_id; of repeated rows, one.
+    """One document of each class stays: that of the smallest doc_id, of its least text key where different texts share the id.
 
-    A row without a doc_id is of the class of its equal texts alone: one such row stays where none of them has a doc_id.
+    A row without a doc_id stays where its class has no row with one; of rows equal in doc_id and words one stays.
     """
-    classes = bagminhash.classes(docs)
-    others = staged(classes.where("doc_id is null or doc_id <> class_id").select("doc_id").distinct(), "others")
-    repeated = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = by_ids(docs.where(F.col("doc_id").isNotNull()), others.where("doc_id is not null"), "doc_id", "left_anti")
-    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
-    if docs.where("doc_id is null").limit(1).count():
-        keyed = bagminhash.keyed(docs)
-        known = keyed.where("doc_id is not null").select("k1", "k2").distinct()
-        nameless = keyed.where("doc_id is null").dropDuplicates(["k1", "k2"]).join(known, ["k1", "k2"], "left_anti")
-        kept = kept.unionByName(nameless.select(*docs.columns))
+    rows = bagminhash.labelled(docs)
+    chosen = staged(rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")).alias("c")).select("class", "c.doc_id", "c.k1", "c.k2"), "chosen")
+    n_rows, n_ids = rows.agg(F.count("*"), F.count("doc_id")).head()
+    if n_rows == n_ids and not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # a doc_id names a row: the others go by their ids
+        others = staged(rows.join(chosen.select(F.col("doc_id")), "doc_id", "left_anti").select("doc_id"), "others")
+        kept = by_ids(docs, others, "doc_id", "left_anti")
+    else:
+        keys = chosen.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+        found = bagminhash.keyed(docs).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left_semi")
+        kept = found.dropDuplicates(["k1", "k2"]).select(*docs.columns)
     return kept
 
 
@@ -42,9 +43,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; rows that share a doc_id, or have none, go together."""
     hit = staged(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return by_ids(docs, hit, "doc_id", "left_anti")
+    return by_ids(docs, hit, "doc_id", "left_anti", null_safe=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,10 +20,11 @@ So no link that a class depends on is lost, and no bucket's pairs are emitted.
 with probability (1 - 0.8**5)**25 < 5e-5.
 
 Defined results: null and wordless texts have the empty multiset and are one
-class; a text of one to four words is one shingle; rows that share a doc_id are
-one document; a null doc_id gets its class but represents none.  Repeated rows
-give repeated results.  An empty table gives an empty result.  Extra columns
-are ignored.
+class; a text of one to four words is one shingle, and a text of any length is
+read whole.  Different texts that share a doc_id, and texts without one, take part
+under names of their own; class_id is the smallest doc_id of the class, null where
+none has one.  Repeated rows give repeated results.  An empty table gives an empty
+result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -191,7 +192,9 @@ def bags_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and bag of the given documents."""
     ids = staged(ids.distinct(), "bag-ids")
     texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left_semi")
-    return staged(texts.mapInArrow(tidied(_bags), "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
+    out = staged(texts.mapInArrow(tidied(_bags), "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
+    drop_staged(ids)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,27 +277,56 @@ def residual_links(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, docs:
     # signatures and bags meet once a document, before they are dealt to its block pairs
     filled = keyed.join(bags.join(sigs, "rep"), "rep").select("bucket", "x", "y", "second", "rep", "component", "sig", "bag")
     dealt = filled.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return staged(dealt.mapInArrow(tidied(_search(threshold)), "a long, b long").distinct(), "residual")
+    out = staged(dealt.mapInArrow(tidied(_search(threshold)), "a long, b long").distinct(), "residual")
+    drop_staged(members, bags)
+    return out
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id (the smallest doc_id of the class) of every row."""
+def _own_names(signed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """signed and rows with `node`, a name that one text alone has: its doc_id, or a negative hash where the id is null or another text's too."""
+    odd = signed.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("least"), F.max(F.struct("k1", "k2")).alias("most")).where("doc_id is null or least <> most")
+    odd = staged(odd.select("doc_id"), "odd-ids")
+    if not odd.limit(1).count():
+        drop_staged(odd)
+        return signed.withColumn("node", F.col("doc_id")), rows.withColumn("node", F.col("doc_id")), False
+
+    def named(df: DataFrame) -> DataFrame:
+        marked = df.join(odd.select(F.col("doc_id").alias("odd"), F.lit(True).alias("is_odd")), F.col("doc_id").eqNullSafe(F.col("odd")), "left")
+        own = -F.lit(1 << 62) - F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.lit(1 << 61))
+        return marked.withColumn("node", F.when(F.col("is_odd"), own).otherwise(F.col("doc_id"))).drop("odd", "is_odd")
+
+    return named(signed), named(keyed(rows)), True
+
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, k1, k2 (equal for equal word sequences) and class, a name of the class, of every row; class_id is its smallest doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(rows.mapInArrow(tidied(_sign), "doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "signatures")
-    reps = staged(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "representatives")
-    known = reps.where("rep is not null")
-    keys = known.select("rep", F.explode("bands").alias("bucket"))
+    signed_, rows_, odd = _own_names(signed, rows)
+    rows_ = rows_.select(F.col("node").alias("doc_id"), "text")
+    reps = staged(signed_.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "representatives")
+    keys = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("hi")).where("leader <> hi").select("bucket", "leader")
     buckets = staged(keys.join(shared, "bucket"), "buckets")
     stars = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = verified(stars, rows, threshold)
+    first = verified(stars, rows_, threshold)
     labels = components(first)
-    rest = residual_links(buckets.select("bucket", "rep"), labels, known.select("rep", "sig"), rows, threshold)
+    rest = residual_links(buckets.select("bucket", "rep"), labels, reps.select("rep", "sig"), rows_, threshold)
     if rest.limit(1).count():
         drop_staged(labels)
         labels = components(first.union(rest))
-    named = reps.join(labels, reps.rep == labels.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
+    named = reps.join(labels, reps.rep == labels.node, "left").select("k1", "k2", "id", F.coalesce("component", "rep").alias("class"))
+    if odd:
+        named = staged(named, "named")
+        named = named.join(named.groupBy("class").agg(F.min("id").alias("class_id")), "class").select("k1", "k2", "class", "class_id")
+    else:
+        named = named.select("k1", "k2", "class", F.col("class").alias("class_id"))
     named = staged(named, "classes")
-    out = staged(signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id"), "classed")
+    out = staged(signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "k1", "k2", "class", "class_id"), "classed")
     drop_staged(signed, reps, buckets, first, labels, rest, named)
     return out
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of the class) of every row."""
+    return labelled(docs, threshold).select("doc_id", "class_id")

@@ -13,8 +13,9 @@ them.  The loss mask holds a span (turn, start, length) for each assistant text.
 
 Defined results: a null role or text is empty; turns sort by turn, role and
 text, null turns first; repeated rows are repeated turns; a null conv_id is one
-conversation; a record of an unknown layout has no turns and is listed by
-`unmapped`; a conversation without turns is not returned.  Empty tables give
+conversation; a record of an unknown layout ends the run with its paths, unless
+strict is off, when `unmapped` lists it; a null record and a
+conversation without turns have no turns and are not returned.  Empty tables give
 empty results; extra columns are ignored.
 """
 
@@ -98,17 +99,18 @@ LAYOUTS: dict[str, tuple[str, Callable[[Column], Column]]] = {
 }
 
 
-def _layout(record: Column, by: Callable[[str], Column]) -> Column:
+def _layout(record: Column, by: Callable[[str], Column], unknown: Column | None = None) -> Column:
     print_ = fingerprint(record)
-    out = F.lit(None)
+    out = F.lit(None) if unknown is None else F.when(record.isNotNull(), unknown)
     for name, (known, _) in LAYOUTS.items():
         out = F.when(print_ == F.xxhash64(F.lit(known)), by(name)).otherwise(out)
     return out
 
 
-def canonical(records: DataFrame) -> DataFrame:
+def canonical(records: DataFrame, strict: bool = True) -> DataFrame:
     """conv_id, turn, role, text from rows of conv_id and record (VARIANT)."""
-    turns = _layout(F.col("record"), lambda name: LAYOUTS[name][1](F.col("record")).cast(TURNS))
+    stop = F.raise_error(F.concat(F.lit("no mapping for the layout "), paths(F.col("record")))).cast(TURNS) if strict else None
+    turns = _layout(F.col("record"), lambda name: LAYOUTS[name][1](F.col("record")).cast(TURNS), stop)
     return records.select("conv_id", F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 

@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, on one machine alone, a folder of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tandemetry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -51,10 +53,13 @@ def drop_staged(*frames: DataFrame) -> None:
             hpath.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hpath, True)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str, n_ids: int | None = None) -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str, n_ids: int | None = None, null_safe: bool = False) -> DataFrame:
     """Semi or anti join on one id column.  The ids are broadcast only while a count proves them few; beyond that both sides shuffle."""
     n = ids.count() if n_ids is None else n_ids
-    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge"), column, how)
+    few = n <= BROADCAST_IDS
+    if null_safe:
+        ids = ids.select(F.col(column).alias(f"__{column}"))
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), F.col(column).eqNullSafe(F.col(f"__{column}")) if null_safe else column, how)
 
 
 def shards(spark: SparkSession) -> int:

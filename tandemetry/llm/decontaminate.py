@@ -1,33 +1,41 @@
 """Benchmark decontamination by a distributed positional inverted index, DataFrame functions only.
 
 Terms are ASCII-lower-cased words.  A first pass counts every test term over all
-documents.  Each test window is anchored at its rarest term; a second pass
-stores the postings (document, position) of the anchor terms, each with the
-terms around it, which are the postings at the adjacent positions.  A window's
-list is offset-adjusted (position minus the anchor's offset) and intersected
-with the lists of its other terms, second rarest first, at the same start; what
-is left is an exact phrase.  `proximity` reads the same index for windows most
-of whose terms occur near the anchor in any order.
-
-No text is shuffled: both passes stream over the documents and emit counts and
-postings of test terms alone.  The test tables are broadcast while a count
-proves them small (BROADCAST_ROWS), else joined by a shuffle.
+documents.  Of each test window the RARE rarest terms are kept, with their offsets.
+A second pass stores the postings (document, term, position) of these terms.
+Grouped per document and term they are the lists of the index: the lists of a
+window's rarest terms, each shifted by the term's offset, are intersected, which
+leaves the words where the window can start.  The few that are left are compared
+with the document's words: exact phrases.  `proximity` intersects the same lists
+with a tolerance, for windows whose rare terms occur near each other in any order.
+
+Both passes stream over the documents and emit counts and postings of test terms
+alone; no text is shuffled but those that hold a candidate, once each, and these
+only when they are too many to be broadcast.  Test tables are broadcast in chunks of
+at most BROADCAST_ROWS rows, one scan a chunk, so no term is ever dealt to one task,
+however frequent.
 
 Defined results: null texts have no words; wordless items match nothing; an item
-or document without id is ignored or one document, respectively; repeated items
-count once; rows that share a doc_id are one document.  Empty tables give no
-hits or an empty result.  Extra columns are ignored.
+without id is ignored, documents without id are one document; repeated items count
+once; rows that share a doc_id are one document: each has its own n_words, and all
+have the hits of the one that is hit most.  Ids may be of any type that can be
+grouped.  Empty tables give no hits or an empty result.  Extra columns are ignored;
+a text may be as long as a row can be.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemetry.llm.common import drop_staged, staged
+from tandemetry.llm.common import by_ids, drop_staged, staged
 
 WINDOW = 10
-#: Rows of test terms or windows that may be broadcast.
+#: Terms of a window whose lists are intersected.
+RARE = 2
+#: Rows of a test table that one broadcast may hold.
 BROADCAST_ROWS = 500_000
 # Fixed values of the contract: what separates words, and the letters that are lowered.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,91 +49,134 @@ def lowered(term: Column) -> Column:
 
 def raw_words(text: Column) -> Column:
     """Words as they stand.  Letters separate nothing, but capitals are within the contract's separators only before lowering, so the class here leaves them out."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
 def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, start, terms of every window; an item of fewer words, but not none, is one window."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.transform(raw_words(F.col("text")), lowered).alias("w")).where("item_id is not null and size(w) > 0")
+    items = benchmark.select("item_id", F.transform(raw_words(F.col("text")), lowered).alias("w")).where("item_id is not null and size(w) > 0")
     at = items.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))))
     return at.select("item_id", "start", F.slice("w", F.col("start") + 1, F.lit(window)).alias("terms")).distinct()
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def chunks(small: DataFrame) -> list[DataFrame]:
+    """The rows of a table in parts of about BROADCAST_ROWS, each to be broadcast."""
+    n = -(-small.count() // BROADCAST_ROWS)
+    if n <= 1:
+        return [F.broadcast(small)]
+    part = F.pmod(F.xxhash64(*small.columns), F.lit(n))
+    return [F.broadcast(small.where(part == k)) for k in range(n)]
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_words(F.col("text")).alias("words"))
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and n, its occurrences over all documents."""
-    return _words(docs).select(F.explode("words").alias("word")).select(lowered(F.col("word")).alias("term")).join(_small(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    """term and n, its occurrences over all documents: summed within each task before any shuffle."""
+    each = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
+    return _union([each.join(part, "term").groupBy("term").agg(F.count("*").alias("n")) for part in chunks(terms)])
 
 
-def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows that can occur, with the rarest term (anchor, offset) and the second rarest (second, second_offset)."""
+def anchored(windows: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
+    """Windows that can occur, with `by`: their rarest terms and offsets, rarest first."""
     each = windows.select("*", F.posexplode("terms").alias("offset", "term"))
     known = each.join(counts, "term", "left").groupBy("item_id", "start", "terms").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("by"))
-    second = F.get("by", F.lit(1))
-    return known.where("by[0].n > 0").select(
-        "item_id", "start", "terms", F.col("by")[0]["term"].alias("anchor"), F.col("by")[0]["offset"].alias("offset"),
-        F.coalesce(second["term"], F.col("by")[0]["term"]).alias("second"), F.coalesce(second["offset"], F.col("by")[0]["offset"]).alias("second_offset"),
-    )
+    return known.where("by[0].n > 0").select("item_id", "start", "terms", F.slice("by", 1, rare).alias("by"))
 
 
-def postings(docs: DataFrame, anchors: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The index: doc_id, term, pos, around (terms within window - 1 of pos), here (index of pos in around), and n_words on each document's last word, which has a null term unless it is an anchor."""
-    terms = anchors.select(F.col("anchor").alias("term")).distinct()
-    at = _words(docs).select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
-    found = at.withColumn("key", lowered(F.col("word"))).join(_small(terms, terms.count()), F.col("key") == F.col("term"), "left")
-    last = F.col("pos") == F.size("words") - 1
-    first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    around = F.transform(F.slice("words", first + 1, F.col("pos") - first + window), lowered)
-    return found.where(F.col("term").isNotNull() | last).select(
-        "doc_id", "term", "pos", F.when(F.col("term").isNotNull(), around).alias("around"), (F.col("pos") - first).alias("here"), F.when(last, F.size("words")).alias("n_words")
-    )
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index, of the given terms: doc_id, term, pos.  Besides, one row of each document with a null term and its n_words."""
+    words = raw_words(F.col("text"))
+    at = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.posexplode_outer("w").alias("pos", "word")).withColumn("key", lowered(F.col("word")))
+    parts = chunks(terms)
+    last = F.coalesce(F.col("pos") == F.col("n") - 1, F.lit(True))
+    # the first scan also gives lengths: of a document's last word there may be two rows
+    first = at.join(parts[0], F.col("key") == F.col("term"), "left").where(F.col("term").isNotNull() | last)
+    both = F.when(last & F.col("term").isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(last))
+    out = [first.select("doc_id", "term", "pos", "n", F.explode(both).alias("length")).select("doc_id", F.when(~F.col("length"), F.col("term")).alias("term"), F.when(~F.col("length"), F.col("pos")).alias("pos"), F.when(F.col("length"), F.col("n")).alias("n_words"))]
+    for part in parts[1:]:
+        out.append(at.join(part, F.col("key") == F.col("term")).select("doc_id", "term", "pos", F.lit(None).cast("long").alias("n_words")))
+    return _union(out)
 
 
-def phrases(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, item_id, start (word number in the document), length of every exact occurrence of a window."""
-    lists = index.where("term is not null").join(_small(windows.withColumnRenamed("start", "item_start"), windows.count()), F.col("term") == F.col("anchor"))
-    begin = F.col("here") - F.col("offset")
-    n = F.size("terms")
-    lists = lists.where((begin >= 0) & (begin + n <= F.size("around")))
-    lists = lists.where(F.get("around", begin + F.col("second_offset")) == F.col("second"))
-    return lists.where(F.slice("around", F.greatest(begin + 1, F.lit(1)), n) == F.col("terms")).select("doc_id", "item_id", (F.col("pos") - F.col("offset")).alias("start"), n.alias("length"))
+def lists(index: DataFrame) -> DataFrame:
+    """doc_id, term and the positions of the term in the document."""
+    return index.where("term is not null").groupBy("doc_id", "term").agg(F.collect_set("pos").alias("positions"))
+
+
+def _rarest(windows: DataFrame) -> DataFrame:
+    return windows.select("item_id", "terms", F.col("start").alias("item_start"), "by", F.col("by")[0]["term"].alias("term"))
 
 
-def proximity(index: DataFrame, windows: DataFrame, share: float = 0.8) -> DataFrame:
-    """doc_id, item_id and pos of anchors near which at least this share of a window's distinct terms occurs, in any order."""
-    lists = index.where("term is not null").join(_small(windows, windows.count()), F.col("term") == F.col("anchor"))
-    distinct = F.array_distinct("terms")
-    near = F.size(F.array_intersect(distinct, F.col("around")))
-    return lists.where(near >= F.ceil(F.size(distinct) * share)).select("doc_id", "item_id", "pos").distinct()
+def _shifted(positions: str, offset: Column) -> Column:
+    return F.transform(positions, lambda p: p - offset)
+
+
+def candidates(held: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, item_id, terms and start: words of documents where the offset-adjusted lists of a window's rarest terms meet."""
+    met = _union([held.join(part, "term") for part in chunks(_rarest(windows))])
+    met = met.select("doc_id", "item_id", "terms", "by", _shifted("positions", F.col("by")[0]["offset"]).alias("starts"))
+    single = met.where("size(by) = 1").select("doc_id", "item_id", "terms", "starts")
+    more = met.where("size(by) > 1")
+    for k in range(1, RARE):
+        other = held.select(F.col("doc_id").alias("other_doc"), F.col("term").alias("other_term"), F.col("positions").alias("other"))
+        kth = F.get("by", F.lit(k))
+        joined = more.join(other, F.col("doc_id").eqNullSafe(F.col("other_doc")) & (kth["term"] == F.col("other_term")))
+        more = joined.select("doc_id", "item_id", "terms", "by", F.array_intersect("starts", _shifted("other", kth["offset"])).alias("starts")).where("size(starts) > 0")
+    every = single.union(more.select("doc_id", "item_id", "terms", "starts"))
+    return every.select("doc_id", "item_id", "terms", F.explode("starts").alias("start")).where("start >= 0")
+
+
+def phrases(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, item_id, start (word number in the document), length of every exact occurrence of a window."""
+    found = staged(found, "candidates")
+    asked = found.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "start", "terms")).alias("asked")).withColumnRenamed("doc_id", "asked_doc")
+    ids = staged(found.select("doc_id").distinct(), "candidate-ids")
+    some = by_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi", null_safe=True)
+    words = some.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_doc"))).select("doc_id", "asked", F.transform(raw_words(F.col("text")), lowered).alias("words"))
+    exact = F.filter("asked", lambda a: F.slice("words", a["start"] + 1, F.size(a["terms"])) == a["terms"])
+    hit = words.select("doc_id", F.explode(exact).alias("a"))
+    return hit.select("doc_id", F.col("a")["item_id"].alias("item_id"), F.col("a")["start"].alias("start"), F.size(F.col("a")["terms"]).alias("length"))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, within: int = WINDOW) -> DataFrame:
+    """doc_id, item_id and pos: places of a window's rarest term with its other rare terms at most `within` words off, in any order."""
+    raw = staged(test_windows(benchmark, window), "windows")
+    windows = staged(anchored(raw, term_counts(docs, raw.select(F.explode("terms").alias("term")).distinct())), "anchored")
+    held = staged(lists(postings(docs, windows.select(F.explode("by.term").alias("term")).distinct())), "lists")
+    met = _union([held.join(part, "term") for part in chunks(_rarest(windows))]).select("doc_id", "item_id", "by", "positions")
+    near = met.where("size(by) = 1").select("doc_id", "item_id", "positions")
+    more = met.where("size(by) > 1")
+    for k in range(1, RARE):
+        other = held.select(F.col("doc_id").alias("other_doc"), F.col("term").alias("other_term"), F.col("positions").alias("other"))
+        joined = more.join(other, F.col("doc_id").eqNullSafe(F.col("other_doc")) & (F.get("by", F.lit(k))["term"] == F.col("other_term")))
+        # every place within reach of the other list
+        reach = F.array_distinct(F.flatten(F.transform("other", lambda q: F.sequence(q - within, q + within))))
+        more = joined.select("doc_id", "item_id", "by", F.array_intersect("positions", reach).alias("positions")).where("size(positions) > 0")
+    return near.union(more.select("doc_id", "item_id", "positions")).select("doc_id", "item_id", F.explode("positions").alias("pos")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs."""
+    docs = docs.select("doc_id", "text")
     raw = staged(test_windows(benchmark, window), "windows")
     counts = staged(term_counts(docs, raw.select(F.explode("terms").alias("term")).distinct()), "term-counts")
     windows = staged(anchored(raw, counts), "anchored")
-    index = staged(postings(docs, windows, window), "postings")
-    drop_staged(raw, counts)
-    hits = phrases(index, windows)
-    spans = hits.select("doc_id", "start", "length").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    index = staged(postings(docs, windows.select(F.explode("by.term").alias("term")).distinct()), "postings")
+    hits = phrases(docs, candidates(lists(index), windows))
+    spans = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     joined = F.aggregate(
         "spans", zero, lambda acc, s: F.struct(F.greatest(acc["end"], s["start"] + s["length"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(s["start"], acc["end"]))).alias("n"))
     )
-    covered = spans.select(F.col("doc_id").alias("span_doc"), joined["n"].alias("n_hit"))
-    items = hits.groupBy(F.col("doc_id").alias("item_doc")).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    lengths = index.where("n_words is not null").groupBy(F.col("doc_id").alias("length_doc")).agg(F.max("n_words").cast("long").alias("n_words"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = ids.join(lengths, F.col("doc_id").eqNullSafe(F.col("length_doc")), "left").join(covered, F.col("doc_id").eqNullSafe(F.col("span_doc")), "left").join(items, F.col("doc_id").eqNullSafe(F.col("item_doc")), "left")
+    covered = staged(spans.select(F.col("doc_id").alias("hit_doc"), joined["n"].alias("n_hit"), "items"), "covered")
+    lengths = index.where("term is null").select("doc_id", "n_words")
+    n_covered = covered.count()
+    out = lengths.join(F.broadcast(covered) if n_covered <= BROADCAST_ROWS else covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left")
     found = F.coalesce("items", F.array().cast("array<string>"))
+    drop_staged(raw, counts, windows)
     return out.select(
-        "doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"),
+        "doc_id", F.greatest("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"),
         F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

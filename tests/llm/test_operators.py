@@ -14,6 +14,7 @@ from tandemetry.llm import kernels as K
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, class_id string"
 ODD = [(None, None, "s", "x"), (None, "a b", None, "x"), (1, "", "s", None), (2, None, "s", "x"), (3, "a b", "s", "x"), (3, "a b", "s", "x"), (4, " \t\n", "s", "x"), (5, "é " * 3000, "s", "x"), (6, "<s> [INST] \\ </s>", "s", "x")]
+CHAT, PAGES = "conv_id long, turn long, role string, text string, record string, t long", "page_id long, url string, html string, digest long"
 WORDS_FILE, PIECES_FILE = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("piece_bpe_32k.model")
 
 
@@ -70,12 +71,16 @@ def test_odd_rows_and_empty_tables(spark):
     forest = quality_forest.fit(docs, labels)
     assert quality_forest.rate(docs, forest).count() == len(ODD) and quality_forest.keep(docs, forest).columns == docs.columns
     classes = {(r.doc_id, r.class_id) for r in bagminhash.classes(docs).collect()}
-    assert {(1, 1), (2, 1), (4, 1), (3, 3), (5, 5), (6, 6), (None, 3)} <= classes
-    assert recompression.deduplicate(docs).count() == len(ODD)
+    assert {(1, 1), (2, 1), (4, 1), (3, 3), (5, 5), (6, 6), (None, 3), (None, 1)} == classes
+    rated = sorted((r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_forest.rate(docs, forest).collect())
+    assert rated == [(0, 0, 0, 0, 0, 0, True, False), (0, 2, 2, 0, 0, 0, True, False), (1, 0, 0, 0, 0, 0, True, False), (2, 0, 0, 0, 0, 0, True, False), (3, 2, 2, 0, 0, 0, True, False), (3, 2, 2, 0, 0, 0, True, False), (4, 0, 0, 0, 0, 0, True, False), (5, 3000, 3000, 0, 0, 3000, True, False), (6, 4, 14, 4, 0, 0, True, False)]
+    cut = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in recompression.deduplicate(docs).collect()}
+    assert cut == {(d, len(w), 0, hashlib.sha256(" ".join(w).encode()).hexdigest()) for d, t, *_ in ODD for w in [WORD.findall(t or "")]}
+    plain = viterbi.Counter(viterbi.vocabulary(PIECES_FILE))
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in viterbi.count_tokens(docs, PIECES_FILE).collect()) == sorted((d or 0, plain.count(t or "")[1]) for d, t, *_ in ODD)
     hits = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, bench).collect()}
     assert hits[3] == (2, 1) and hits[5] == (3000, 1) and hits[6] == (0, 0) and hits[None] == (2, 1)
-    assert viterbi.count_tokens(docs, PIECES_FILE).count() == len(ODD)
-    for result in (bagminhash.classes(none), recompression.deduplicate(none), recompression.removed_from(none), decontaminate.decontaminate(none, bench), splitters.shard(none, 4), viterbi.count_tokens(none, PIECES_FILE), packing.pack(none, WORDS_FILE)):
+    for result in (bagminhash.classes(none), chat.canonical(chat.from_rows(spark.createDataFrame([], CHAT))), warc_chunks.records(warc_chunks.read_chunks(*warc_chunks.write_archives(warc_chunks.planned(spark.createDataFrame([], PAGES))))), recompression.deduplicate(none), recompression.removed_from(none), decontaminate.decontaminate(none, bench), splitters.shard(none, 4), viterbi.count_tokens(none, PIECES_FILE), packing.pack(none, WORDS_FILE)):
         assert result.count() == 0
     assert quality_forest.rate(none, quality_forest.fit(none, labels)).count() == 0
 
@@ -141,6 +146,23 @@ def test_shards_are_gapless_and_near_equal(spark):
     assert got.set_index("doc_id").text_crc32[0] == zlib.crc32(b"same" * 50)
 
 
+def test_shards_of_odd_rows(spark):
+    rows = [(None, None, "s", "c"), (1, None, "s", "c"), (1, None, "s", "c"), (2, "x" * 200_000, "s", "c"), (3, "é", "s", "c")] + [(i, "y" * (i % 7), "s", "c") for i in range(4, 400)]
+    got = splitters.shard(frame(spark, rows), 5).toPandas()
+    want = Counter((i if i is not None else -1, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert Counter(zip(got.doc_id.fillna(-1).astype(int), got["size"], got.text_crc32, strict=True)) == want
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard")) and set(got.law) == {"bytes"} and got.grown_shard.isna().all()
+    # one row fills more than a shard; the others share what is left about evenly
+    rest = got[got.doc_id != 2].groupby("shard")["size"].sum()
+    assert rest.max() <= (rest.sum() + 200_016) / 5 + 100
+
+
+def test_packing_of_repeated_rows(spark):
+    rows = [(1, "some words here", "s", "c")] * 3 + [(None, "some words here", "s", "c")] * 2
+    got = packing.pack(frame(spark, rows), WORDS_FILE).toPandas()
+    assert len(got) == 5 and got.sequence_id.nunique() == 1 and sorted(got.offset) == [0, *np.cumsum(got.length)[:-1]]
+
+
 def test_counts_equal_the_unigram_tokenizer():
     from tokenizers import Tokenizer, models
 
@@ -205,9 +227,22 @@ def test_layouts_become_the_same_turns(spark):
         union all select 2L, parse_json('{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"<s>"}]}')
         union all select 3L, parse_json('{"prompt":"hi","completion":"<s>"}') union all select 4L, parse_json('{"instruction":"hi","input":"","output":"<s>"}')
         union all select 5L, parse_json('{"x":1}') union all select 6L, parse_json('{"question":"hi","answer":"<s>"}')""")
-    got = {r.conv_id: (r.turns_sha256, r.loss_chars) for r in chat.digests(chat.formatted(chat.canonical(records))).collect()}
+    got = {r.conv_id: (r.turns_sha256, r.loss_chars) for r in chat.digests(chat.formatted(chat.canonical(records, strict=False))).collect()}
     assert set(got) == {1, 2, 3, 4, 6} and len(set(got.values())) == 1 and got[1][1] == 3
     assert [r.paths for r in chat.unmapped(records).collect()] == ["OBJECT<x: _>"]
+    with pytest.raises(Exception, match="OBJECT<x: _>"):
+        chat.canonical(records).collect()
+
+
+def test_chats_of_odd_rows(spark):
+    rows = [(1, 0, "user", "hi", "x", 5), (1, 0, "user", "hi", "x", 5), (1, 0, "assistant", None, None, None), (1, None, None, "<s>[INST]\\</s>", "x", 1), (2, 3, "assistant", "b", "x", 1), (2, 3, "assistant", "a", "x", 1), (None, 1, "assistant", "é\\[" * 9000, "x", 1)]
+    turns = chat.canonical(chat.from_rows(spark.createDataFrame(rows, CHAT)))
+    got = {r.conv_id: r for r in chat.digests(chat.formatted(turns)).collect()}
+    for conv in (1, 2, None):
+        mine = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x, *_ in rows if c == conv))
+        said, trained = "".join(f"{r}\n{x}\n" for _, r, x in mine), "".join(x for _, r, x in mine if r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(mine), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(trained), hashlib.sha256(trained.encode()).hexdigest())
 
 
 def test_main_text_leaves_boilerplate_out():
