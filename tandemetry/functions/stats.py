@@ -17,10 +17,6 @@ def safe_corr(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def fisher_z(r: Column) -> Column:
-    return F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), r)))
-
-
 def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
@@ -32,6 +28,38 @@ def spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", least:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr("rx", "ry").alias("r")).select(*keys, "n", F.when(F.col("n") >= least, F.col("r")).alias("rho"))
 
 
+def average_ranks(df: DataFrame, keys: list[str], x: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Adds the average rank of x within the keys without gathering a key in one task.
+
+    Each key's values are cut at approximate quantiles into ranges; ranks are exact, as ranges only decide where rows are
+    counted: a rank is the rows of the ranges below plus the place inside the row's own.  Equal values share a range.
+    """
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    points = [k / ranges for k in range(1, ranges)]
+    if not points:
+        return df.withColumn(name, avg_rank(x, *keys))
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(x, points, 20 * ranges).alias("__bounds"))
+    placed = df.join(bounds, keys).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(x)))).drop("__bounds")
+    # equal values are one row from here on, so a value that a third of the rows share weighs no more than any other
+    counts = placed.groupBy(*keys, "__range", x).agg(F.count("*").alias("__ties"))
+    totals = counts.groupBy(*keys, "__range").agg(F.sum("__ties").alias("__total"))
+    below = totals.withColumn("__below", F.coalesce(F.sum("__total").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.sum("__ties").over(Window.partitionBy(*keys, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = counts.withColumn("__upto", inside).join(below, [*keys, "__range"]).select(*keys, x, (F.col("__below") + F.col("__upto") - (F.col("__ties") - 1) / 2).alias(name))
+    return df.join(ranks, [*keys, x], "left")
+
+
+def partial_spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", z: str = "z", least: int = 8) -> DataFrame:
+    """keys, n, rho, rho_<z> (of z with y) and partial, the rank correlation of x and y given z; complete rows only."""
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    ranked = full.select(*keys, avg_rank(x, *keys).alias("rx"), avg_rank(y, *keys).alias("ry"), avg_rank(z, *keys).alias("rz"))
+    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr("rx", "ry").alias("xy"), safe_corr("rx", "rz").alias("xz"), safe_corr("ry", "rz").alias("yz"))
+    size = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
+    part = F.when((F.col("n") >= least) & (size > 1e-12), (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(F.nullif(F.greatest(size, F.lit(0.0)), F.lit(0.0))))
+    return got.select(*keys, "n", F.col("xy").alias("rho"), F.col("yz").alias("rho_duration" if z == "seconds" else f"rho_{z}"), part.alias("partial"))
+
+
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, order: list[str]) -> DataFrame:
     """Adds q and m: p * m / rank, cumulated from the largest p down, at most 1; null p stay null and do not count."""
     by = Window.partitionBy(*keys, F.col(p).isNull())
