@@ -152,7 +152,7 @@ def pair_contrast(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, rng: np.random.
         return {"n_cap": float(n)}
     ra, rb, rab = float(spearman(xa, y)), float(spearman(xb, y)), float(spearman(xa, xb))
     parts = [(spearman(xa[i], y[i]), spearman(xb[i], y[i])) for i in draws(rng, n, times)]
-    ba, bb = (np.concatenate(p) for p in zip(*parts, strict=True))
+    ba, bb = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0))
     known = np.isfinite(ba) & np.isfinite(bb)
     dz, raw = fisher(ba[known]) - fisher(bb[known]), ba[known] - bb[known]
     delta = float(fisher(ra) - fisher(rb))
@@ -178,7 +178,7 @@ def pool_check(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, rng: np.random.Gen
         return {"n_cap": float(n)}
     a, b, r, z = map(float, pooled(xa, xb, y))
     boots = [np.stack(pooled(xa[i], xb[i], y[i])) for i in draws(rng, n, times)]
-    ba, bb, _, bz = np.concatenate(boots, axis=1)
+    ba, bb, _, bz = np.concatenate(boots, axis=1) if boots else np.zeros((4, 0))
     predicted = (a + b) / np.sqrt(2 * (1 + r)) if r > -1 else float("nan")
     ia, ib, iz = interval(ba), interval(bb), interval(bz)
     return {
@@ -235,6 +235,6 @@ def largest_contrast(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, tim
         for (a, b), d in zip(used, seen, strict=True):
             far = np.fmax(far, np.abs(z[a] - z[b] - d))
         peaks.append(far)
-    far = np.concatenate(peaks)
+    far = np.concatenate(peaks) if peaks else np.zeros(0)
     far = far[np.isfinite(far)]
     return {"n_tasks": float(len(x)), "n_pairs": float(len(pairs)), "n_used": float(len(used)), "max_abs_dz": top, "p_max": (1 + int((far >= top).sum())) / (1 + len(far)) if len(far) else float("nan"), "n_boot_valid": float(len(far))}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,72 @@ def average_ranks(df: DataFrame, keys: list[str], x: str, name: str, ranges: int
     return df.join(ranks, [*keys, x], "left")
 
 
+def leave_one_out(df: DataFrame, keys: list[str], item: str, x: str = "x", y: str = "y") -> DataFrame:
+    """keys, item, rho: rank correlation of the others, for each item, without pairing items with each other.
+
+    Leaving out value v lowers the rank of what is above it by one and of its equals by a half, so the sums of the changed
+    ranks and of their products follow from cumulated sums in the order of x, of y, and of both.
+    """
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, item, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    rows = full.withColumn("rx", avg_rank("__x", *keys)).withColumn("ry", avg_rank("__y", *keys))
+    every = Window.partitionBy(*keys)
+
+    def above(by: str, what: Column) -> Column:
+        """Sum of `what` over greater values and half of that over equal ones."""
+        least = every.orderBy(F.col(by).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        same = Window.partitionBy(*keys, by)
+        return F.sum(what).over(least) - F.sum(what).over(same) / 2
+
+    rows = rows.withColumn("__n", F.count("*").over(every))
+    for c in ("rx", "ry"):
+        rows = rows.withColumn(f"__s{c}", F.sum(c).over(every)).withColumn(f"__q{c}", F.sum(F.col(c) * F.col(c)).over(every))
+    rows = rows.withColumn("__p", F.sum(F.col("rx") * F.col("ry")).over(every))
+    # cross terms: ry above in x, rx above in y, and the number above in both (equals count a half a side)
+    rows = rows.withColumn("__yx", above("rx", F.col("ry"))).withColumn("__xy", above("ry", F.col("rx")))
+    rows = rows.withColumn("__xx", above("rx", F.col("rx"))).withColumn("__yy", above("ry", F.col("ry")))
+    rows = rows.withColumn("__nx", above("rx", F.lit(1.0))).withColumn("__ny", above("ry", F.lit(1.0)))
+    rows = rows.withColumn("__ex", F.count("*").over(Window.partitionBy(*keys, "rx"))).withColumn("__ey", F.count("*").over(Window.partitionBy(*keys, "ry")))
+    both = _above_both(rows, keys, item)
+    rows = rows.join(both, [*keys, item])
+    n = F.col("__n") - 1
+    a, b = F.col("rx"), F.col("ry")
+    # of the others: sum of ranks less the lowering, of squares, of products
+    sx = F.col("__srx") - a - (F.col("__nx") - 0.5)
+    sy = F.col("__sry") - b - (F.col("__ny") - 0.5)
+    lx = F.col("__nx") - 0.25 * F.col("__ex") - 0.25  # sum of squared lowerings: 1 above, a quarter for each equal other
+    ly = F.col("__ny") - 0.25 * F.col("__ey") - 0.25
+    qx = F.col("__qrx") - a * a - 2 * (F.col("__xx") - a / 2) + lx
+    qy = F.col("__qry") - b * b - 2 * (F.col("__yy") - b / 2) + ly
+    p = F.col("__p") - a * b - (F.col("__yx") - b / 2) - (F.col("__xy") - a / 2) + F.col("__both") - 0.25
+    vx, vy = qx - sx * sx / n, qy - sy * sy / n
+    return rows.select(*keys, item, F.when((F.col("__n") > 3) & (vx > 1e-9) & (vy > 1e-9), (p - sx * sy / n) / F.sqrt(F.nullif(F.greatest(vx * vy, F.lit(0.0)), F.lit(0.0)))).alias("rho"))
+
+
+def _above_both(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """keys, item, __both: the others' weights above in x times above in y (1 greater, a half equal), itself a quarter.
+
+    Counted over a grid with about the square root of the cohort a side: whole cells by cumulated counts, a row's own strips
+    pair by pair, so the work is n**1.5, not n**2.
+    """
+    side = F.ceil(F.sqrt(F.col("__n")))
+    placed = rows.select(*keys, item, "rx", "ry", F.floor(F.col("rx") / side).alias("cx"), F.floor(F.col("ry") / side).alias("cy"))
+    cells = placed.groupBy(*keys, "cx", "cy").agg(F.count("*").alias("n"))
+    ends = placed.groupBy(*keys).agg(F.max("cx").alias("tx"), F.max("cy").alias("ty"))
+    grid = ends.withColumn("cx", F.explode(F.sequence(F.lit(0).cast("long"), "tx"))).withColumn("cy", F.explode(F.sequence(F.lit(0).cast("long"), "ty"))).join(cells, [*keys, "cx", "cy"], "left")
+    upto = (Window.unboundedPreceding, -1)
+    grid = grid.withColumn("up", F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "cx").orderBy(F.col("cy").desc()).rowsBetween(*upto)), F.lit(0)))
+    grid = grid.withColumn("far", F.coalesce(F.sum("up").over(Window.partitionBy(*keys, "cy").orderBy(F.col("cx").desc()).rowsBetween(*upto)), F.lit(0)))
+    mine = placed.join(grid.select(*keys, "cx", "cy", "far"), [*keys, "cx", "cy"]).select(*keys, item, "far")
+    others = placed.select(*(F.col(k).alias(f"__o{k}") for k in keys), F.col("rx").alias("ox_"), F.col("ry").alias("oy_"), F.col("cx").alias("dx"), F.col("cy").alias("dy"))
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__o{k}") for k in keys))
+    weight = lambda v, w: F.when(F.col(w) > F.col(v), 1.0).when(F.col(w) == F.col(v), 0.5).otherwise(0.0)
+    w = weight("rx", "ox_") * weight("ry", "oy_")
+    strip_x = placed.join(others, same & (F.col("cx") == F.col("dx")) & (F.col("dy") >= F.col("cy"))).groupBy(*keys, item).agg(F.sum(w).alias("near"))
+    strip_y = placed.join(others, same & (F.col("cy") == F.col("dy")) & (F.col("dx") > F.col("cx"))).groupBy(*keys, item).agg(F.sum(w).alias("next"))
+    out = placed.select(*keys, item).join(mine, [*keys, item], "left").join(strip_x, [*keys, item], "left").join(strip_y, [*keys, item], "left")
+    return out.select(*keys, item, (F.coalesce("far", F.lit(0)) + F.coalesce("near", F.lit(0.0)) + F.coalesce("next", F.lit(0.0))).alias("__both"))
+
+
 def partial_spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", z: str = "z", least: int = 8) -> DataFrame:
     """keys, n, rho, rho_<z> (of z with y) and partial, the rank correlation of x and y given z; complete rows only."""
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())

@@ -26,9 +26,14 @@ def _families(cell_slots: DataFrame, spans: DataFrame, series_rows: DataFrame, u
     return reduce(DataFrame.union, [staged(df, "features") for df in found])
 
 
+def _segments(sessions: DataFrame, segments: DataFrame | None) -> DataFrame:
+    """The given segments of participants who have a session, else those of the documents."""
+    return recordings.own_spans(sessions) if segments is None else segments.join(sessions.select("pid"), "pid", "left_semi")
+
+
 def dynamics(sessions: DataFrame, segments: DataFrame | None = None, mode: str = "tasks", min_task_sec: float = 30.0, names: list[str] | None = None) -> DataFrame:
     """One row a cell: quality of the frames, then features by name.  segments (pid, task, a, b) replace those of the documents."""
-    segments = recordings.own_spans(sessions) if segments is None else segments
+    segments = _segments(sessions, segments)
     series_rows = staged(recordings.series(recordings.frames(sessions)), "series")
     slots = series_rows.where(F.col("role") == recordings.ROLES[0]).select("pid", "slot", "t")
     cell_slots, spans = (staged(df, "cells") for df in recordings.cells(slots, segments, mode, min_task_sec))
@@ -41,7 +46,7 @@ def dynamics(sessions: DataFrame, segments: DataFrame | None = None, mode: str =
 
 def windows_rows(sessions: DataFrame, segments: DataFrame | None = None, words: dict[int, tuple[str, ...]] | None = None) -> DataFrame:
     """One row an activity of halves, gestures, replies and texts."""
-    segments = recordings.own_spans(sessions) if segments is None else segments
+    segments = _segments(sessions, segments)
     framed = staged(recordings.frames(sessions).select("pid", "idx", "t", *(f"{r}_{part}" for r in recordings.ROLES for part in ("face", "pose"))), "frames")
     found = windows.features(framed, staged(recordings.utterances(sessions), "utterances"), segments, words)
     return wide(found, windows_names(words), ("pid", "task"))

@@ -23,6 +23,18 @@ def rolling_median(grid: DataFrame, keys: list[str], half: int, least: int = 3)
     return grid.withColumn("med", F.when(F.count("x").over(near) >= least, F.percentile("x", F.lit(0.5)).over(near)).otherwise(F.percentile("x", F.lit(0.5)).over(every)))
 
 
+def blanked(grid: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """Values whose change from the slot before exceeds `most` become null; `jump` marks them."""
+    order = Window.partitionBy(*keys).orderBy("slot")
+    marked = grid.withColumn("jump", F.coalesce(F.abs(F.col("x") - F.lag("x").over(order)) > most, F.lit(False)))
+    return marked.withColumn("x", F.when(~F.col("jump"), F.col("x")))
+
+
+def masked(grid: DataFrame, inside: str, columns: list[str]) -> DataFrame:
+    """Values outside the mask become null."""
+    return grid.withColumns({c: F.when(F.col(inside), F.col(c)) for c in columns})
+
+
 def differenced(grid: DataFrame, keys: list[str]) -> DataFrame:
     """Adds d (difference to the slot before, null beside a gap) and dd (of d)."""
     order = Window.partitionBy(*keys).orderBy("slot")

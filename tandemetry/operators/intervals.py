@@ -29,6 +29,24 @@ def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], t: str
     return points.withColumn("__bucket", F.floor(F.col(t) / bucket)).join(cut, [*keys, "__bucket"]).where((F.col(t) >= F.col("a")) & (F.col(t) < F.col("b"))).drop("__bucket")
 
 
+def nearest(points: DataFrame, others: DataFrame, keys: list[str], item: str, t: str = "t") -> DataFrame:
+    """Each point with the nearest of the others of its keys (item) and the gap; of equal gaps the earlier, then the least item.
+
+    Both go on one line a key, where the last other before a point and the first one after it are all that can be nearest.
+    """
+    mine = points.select("*", F.lit(None).cast(others.schema[item].dataType).alias("__item"), F.lit(True).alias("__point"))
+    rest = others.select(*keys, t, F.col(item).alias("__item"), F.lit(False).alias("__point"))
+    line = mine.unionByName(rest, allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy(t, F.col("__point"), F.col("__item").desc())
+    after = Window.partitionBy(*keys).orderBy(F.col(t).desc(), F.col("__point"), F.col("__item").desc())
+    last = lambda w: F.last(F.when(~F.col("__point"), F.struct(F.col(t).alias("t"), F.col("__item").alias("item"))), ignorenulls=True).over(w)
+    both = line.withColumn("__b", last(before)).withColumn("__a", last(after)).where("__point")
+    to = lambda c: F.abs(F.col(f"{c}.t") - F.col(t))
+    first = F.col("__b").isNotNull() & (F.col("__a").isNull() | (to("__b") <= to("__a")))
+    chosen = F.when(first, F.col("__b")).otherwise(F.col("__a"))
+    return both.withColumn("__c", chosen).where("__c is not null").select(*points.columns, F.col("__c.item").alias(item), F.abs(F.col("__c.t") - F.col(t)).alias("gap"))
+
+
 def contiguous_runs(df: DataFrame, keys: list[str], slot: str, flag: str, least: int = 1) -> DataFrame:
     """keys, first, last and length of maximal runs of consecutive slots where the flag holds."""
     on = df.where(F.col(flag))

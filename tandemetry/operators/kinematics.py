@@ -52,21 +52,39 @@ def reversals(rows: DataFrame, keys: list[str], d: str = "d", least: int = 9) ->
 
 def head(rows: DataFrame) -> DataFrame:
     """Displacement, speed, reversals and predictability of head rotation."""
-    valid = minutes(rows, "face_ok")
-    turned = staged(angles(rows).join(valid, [*CELL, "role"]), "angles")
+    turned = turning(rows)
+    return rotation(turned).union(turn_reversals(turned)).union(entropies(turned))
+
+
+def turning(rows: DataFrame) -> DataFrame:
+    """angles with the minutes of valid faces, written once."""
+    return staged(angles(rows).join(minutes(rows, "face_ok"), [*CELL, "role"]), "angles")
+
+
+def _signal() -> Column:
+    return F.concat_ws("_", "role", "signal")
+
+
+def rotation(turned: DataFrame) -> DataFrame:
+    """Spread, range, speed, acceleration and rotation of each angle, and the speed of all three together."""
     keys = [*CELL, "role", "signal"]
     ends = F.percentile("x", F.array(F.lit(0.05), F.lit(0.95)))
     values = {"rms_disp": F.stddev_pop("x"), "range": ends[1] - ends[0], "rot_per_min": F.coalesce(F.sum(F.abs("d")), F.lit(0.0)) / F.first("minutes")}
     values |= named("angvel", five(F.abs("d") / STEP)) | named("angacc", five(F.abs("dd") / STEP**2))
-    signal = F.concat_ws("_", "role", "signal")
-    out = long(grouped(turned, keys, values), list(values), signal)
-    out = out.union(long(reversals(turned, keys), ["reversal_rate"], signal))
+    out = long(grouped(turned, keys, values), list(values), _signal())
     every = turned.groupBy(*CELL, "role", "slot").agg(F.count("d").alias("n"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("v"))
-    bundle = five(F.when(F.col("n") == 3, F.col("v") / STEP))
-    speed = grouped(every, [*CELL, "role"], named("head_speed", bundle))
-    out = out.union(long(speed, list(named("head_speed", bundle)), F.col("role")))
-    stretches = runs(turned.where("signal in ('yaw', 'pitch')"), keys, ["x"], 48, 6)
-    return out.union(from_map(by_kernel(stretches, "runs", _entropies), signal))
+    bundle = named("head_speed", five(F.when(F.col("n") == len(ANGLES), F.col("v") / STEP)))
+    return out.union(long(grouped(every, [*CELL, "role"], bundle), list(bundle), F.col("role")))
+
+
+def turn_reversals(turned: DataFrame) -> DataFrame:
+    return long(reversals(turned, [*CELL, "role", "signal"]), ["reversal_rate"], _signal())
+
+
+def entropies(turned: DataFrame) -> DataFrame:
+    """Multiscale entropy of yaw and pitch over the six longest runs of at least 48 slots."""
+    stretches = runs(turned.where("signal in ('yaw', 'pitch')"), [*CELL, "role", "signal"], ["x"], 48, 6)
+    return from_map(by_kernel(stretches, "runs", _entropies), _signal())
 
 
 def _entropies(found) -> dict[str, float]:

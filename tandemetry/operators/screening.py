@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemetry.functions import models, resampling
-from tandemetry.functions.stats import benjamini_hochberg, partial_spearman, spearman
+from tandemetry.functions import models, resampling, special
+from tandemetry.functions.stats import avg_rank, benjamini_hochberg, partial_spearman, spearman
 
 LEAST = 8
 LEVEL = 0.05
@@ -255,6 +255,25 @@ def ridge_cells(rows: DataFrame, hits: DataFrame, groups: DataFrame, permutation
     return controlled(spread(out, ["n", "n_splits", "n_repeats", "n_folds", "rho", "rho_sd", "rho_pos_frac", "rho_p025", "rho_p975", "p"]).drop("seed", "cols"))
 
 
+def mann_whitney(rows: DataFrame, keys: list[str], x: str, flag: str) -> DataFrame:
+    """keys, n1, n0, u (of the rows with flag 1), rank_biserial, ties and the two-sided p."""
+    ranked = rows.where(F.col(x).isNotNull() & F.col(flag).isNotNull()).withColumn("__r", avg_rank(x, *keys))
+    tied = ranked.groupBy(*keys, x).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
+    one = F.col(flag) == 1
+    sums = ranked.groupBy(*keys).agg(F.count_if(one).alias("n1"), F.count_if(~one).alias("n0"), F.sum(F.when(one, F.col("__r"))).alias("r1"))
+    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
+    both = sums.join(tied, keys).withColumn("u", u).withColumn("rank_biserial", F.try_divide(2 * F.col("u"), (F.col("n1") * F.col("n0")).cast("double")) - 1)
+    tested = by_cell(both.where("n1 > 0 and n0 > 0"), lambda u, n1, n0, ties: {"p": special.mann_whitney_p(float(u), int(n1), int(n0), float(ties))}, "u", "n1", "n0", "ties")
+    return spread(tested, ["p"]).drop("r1")
+
+
+def histogram(df: DataFrame, x: str, low: float, high: float, bins: int) -> DataFrame:
+    """bin, lo and n of values between low and high in equal bins; the last one holds its upper end."""
+    width = (high - low) / bins
+    at = F.least(F.lit(bins - 1), F.floor((F.col(x) - low) / width)).cast("long")
+    return df.where(F.col(x).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("lo", low + F.col("bin") * width)
+
+
 def target_overlap(hits: DataFrame, targets: list[str]) -> DataFrame:
     """task, source, feature, n_targets, targets, and on_ and rho_ of each target; empty hits give an empty table of the same columns."""
     mine = lambda t, c: F.max(F.when(F.col("target") == t, c))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tandemetry.functions import stats
 from tandemetry.functions.stats import avg_rank, benjamini_hochberg, permuted, rounded, safe_corr, spearman
-from tandemetry.operators import conversation, grid, intervals
+from tandemetry.operators import conversation, grid, intervals, kinematics, windows
+from tandemetry.operators.features import CELL
 from tandemetry.plans.dialect import oracle, query, spark_sql
 
 QUERIES: dict = {}
@@ -21,12 +23,12 @@ FEAT = EV + ", feat as (select pid, task, count(*) as n_events, avg(h) as x, max
 UT = (
     "u0 as (select conv_id as pid, turn, case role when 'user' then 'child' when 'assistant' then 'examiner' else 'other' end as speaker, text, length(text) / 15e0 as dur, ((turn * 7 + conv_id) % 5) * 7e-1 as gap,"
     " length(text) - length(replace(text, ' ', '')) + 1 as words from conversations),"
-    " ut as (select pid, turn, speaker, text, words, b - dur as a, b from (select *, sum(dur + gap) over (partition by pid order by turn rows between unbounded preceding and current row) as b from u0) z)"
+    " ut as (select pid, turn, speaker, text, words, b - dur as a, b + case when (turn * 3 + pid) % 7 = 0 then 4e0 else 0e0 end as b from (select *, sum(dur + gap) over (partition by pid order by turn rows between unbounded preceding and current row) as b from u0) z)"
 )
 TURNS = (
     UT + ", v0 as (select *, case when lag(speaker) over w = speaker and a - lag(b) over w <= 1e0 then 0 else 1 end as fresh from ut where speaker <> 'other' window w as (partition by pid order by a, b)),"
     " v1 as (select *, sum(fresh) over (partition by pid order by a, b rows between unbounded preceding and current row) as k from v0),"
-    " tn as (select pid, k, min(speaker) as speaker, min(a) as a, max(b) as b, count(*) as n_utt, sum(words) as words from v1 group by pid, k)"
+    " tn as (select pid, k, min(speaker) as speaker, min(a) as a, @lastby(b, a) as b, count(*) as n_utt, sum(words) as words from v1 group by pid, k)"
 )
 SPANS = EV + ", sp as (select pid, task, t as a, t + x * 3600e0 as b from ev)"
 UNION = (
@@ -72,7 +74,7 @@ def base(spark: SparkSession, sf_dir: str, ctes: str, name: str) -> DataFrame:
 @operator(
     f"with {FEAT}, g as (select f.pid, f.task, f.x, l.y from feat f join lab l using (pid) where f.x is not null),"
     f" r as (select pid, task, {rank('x', 'task')} as rx, {rank('y', 'task')} as ry from g), o as (select task, count(*) as n, {CORR} as rho from r group by task),"
-    " b as (select rep, r.*, md5(concat(rep, ':', pid)) as d from r, (select @series(1, 50) as rep) q),"
+    " b as (select rep, r.*, md5(concat(rep, ':', pid)) as d from r, (select @series(1, 1000) as rep) q),"
     " s as (select *, row_number() over (partition by task, rep order by d, pid) as slot, row_number() over (partition by task, rep order by pid) as own from b),"
     " k as (select x.task, x.rep, x.rx, y.ry from s x join s y on x.task = y.task and x.rep = y.rep and x.slot = y.own),"
     f" z as (select task, rep, {CORR} as rho from k group by task, rep),"
@@ -85,7 +87,7 @@ def screen_spearman_bh(spark, sf_dir):
     rows = base(spark, sf_dir, FEAT, "feat").join(base(spark, sf_dir, FEAT, "lab"), "pid").where("x is not null").select("pid", "task", "x", "y")
     ranked = rows.select("pid", "task", avg_rank("x", "task").alias("rx"), avg_rank("y", "task").alias("ry"))
     seen = ranked.groupBy("task").agg(F.count("*").alias("n"), safe_corr("rx", "ry").alias("rho"))
-    shuffled = permuted(ranked, ["task"], "pid", 50).withColumn("own", F.row_number().over(Window.partitionBy("task", "rep").orderBy("pid")))
+    shuffled = permuted(ranked, ["task"], "pid", 1000).withColumn("own", F.row_number().over(Window.partitionBy("task", "rep").orderBy("pid")))
     moved = shuffled.select("task", "rep", "slot", "rx").join(shuffled.select("task", "rep", F.col("own").alias("slot"), "ry"), ["task", "rep", "slot"])
     null = moved.groupBy("task", "rep").agg(safe_corr("rx", "ry").alias("z"))
     extreme = F.count_if(F.abs("z") >= F.abs("rho") - 1e-12)
@@ -145,7 +147,16 @@ add(
     " s as (select grp, count(*) filter (where toxic = 1) as n1, count(*) filter (where toxic = 0) as n0, sum(rx) filter (where toxic = 1) as r1 from r group by grp)"
     " select grp, n1, n0, r1 - n1 * (n1 + 1) / 2e0 as u, round(2 * (r1 - n1 * (n1 + 1) / 2e0) / (n1 * n0) - 1, 6) + 0.0 as rank_biserial from s where n1 >= 3 and n0 >= 3",
 )
-add("p_ranks", f"with {_PAIRED}, p as (select pid, round(avg(x), 0) as p from g group by pid) select pid, p, cast(rank() over (order by p) as bigint) as min_rank, {rank('p')} as mean_rank from p")
+
+
+@operator(f"with {_PAIRED}, p as (select pid, round(avg(x), 0) as p from g group by pid) select pid, p, rank() over (order by p) as min_rank, {rank('p')} as mean_rank from p")
+def p_ranks(spark, sf_dir):
+    """Minimum and average ranks over the whole table, counted range by range."""
+    p = base(spark, sf_dir, _PAIRED, "g").groupBy("pid").agg(F.round(F.avg("x"), 0).alias("p")).withColumn("all", F.lit(1))
+    ranked = stats.average_ranks(p, ["all"], "p", "mean_rank").join(p.groupBy("p").agg(F.count("*").alias("ties")), "p")
+    return ranked.select("pid", "p", (F.col("mean_rank") - (F.col("ties") - 1) / 2).cast("long").alias("min_rank"), "mean_rank")
+
+
 add(
     "half_stability",
     f"with {_PAIRED}, b as (select rep, pid, task, x, y, row_number() over (partition by task, rep order by md5(concat(rep, ':', pid)), pid) as slot, count(*) over (partition by task, rep) as n from g, (select @series(1, 200) as rep) s),"
@@ -162,7 +173,7 @@ add(
     f" c as (select task, shuffle, rep, half, {CORR} as rho from r group by task, shuffle, rep, half), q as (select task, shuffle, rep, min(rho) as lo, max(rho) as hi, count(rho) as k from c group by task, shuffle, rep),"
     " st as (select task, shuffle, sum(case when k = 2 and (lo >= 2e-1 - 1e-12 or hi <= -2e-1 + 1e-12) then 1e0 else 0e0 end) / 200 as s from q group by task, shuffle) select task, round(@pct(s, 0.95), 6) as tau from st group by task",
 )
-_BOOT = f"{_PAIRED}, g1 as (select *, row_number() over (partition by task order by pid) - 1 as own, count(*) over (partition by task) as n from g), bs as (select s.rep, a.task, @draw(concat(s.rep, ':', a.task, ':', a.own)) % a.n as pick from g1 a, (select @series(1, 60) as rep) s), bx as (select b.rep, b.task, g1.x, g1.y from bs b join g1 on g1.task = b.task and g1.own = b.pick), br as (select rep, task, {rank('x', 'rep, task')} as rx, {rank('y', 'rep, task')} as ry from bx), bc as (select rep, task, {CORR} as rho from br group by rep, task)"
+_BOOT = f"{_PAIRED}, g1 as (select *, row_number() over (partition by task order by pid) - 1 as own, count(*) over (partition by task) as n from g), bs as (select s.rep, a.task, @draw(concat(s.rep, ':', a.task, ':', a.own)) % a.n as pick from g1 a, (select @series(1, 2000) as rep) s), bx as (select b.rep, b.task, g1.x, g1.y from bs b join g1 on g1.task = b.task and g1.own = b.pick), br as (select rep, task, {rank('x', 'rep, task')} as rx, {rank('y', 'rep, task')} as ry from bx), bc as (select rep, task, {CORR} as rho from br group by rep, task)"
 add("bootstrap_ci", f"with {_BOOT} select task, count(rho) as n_boot, round(@pct(rho, 0.025), 6) + 0.0 as lo, round(@pct(rho, 0.975), 6) + 0.0 as hi, @pct(rho, 0.025) > 0 or @pct(rho, 0.975) < 0 as excludes_zero from bc group by task")
 add(
     "shifted_bootstrap_p",
@@ -173,7 +184,14 @@ add(
     f"with {_BOOT}, zz as (select rep, b.task, c.n - 3 as w, atanh(greatest(-0.999999e0, least(0.999999e0, rho))) as z from bc b join (select task, count(*) as n from g group by task) c on b.task = c.task), m as (select task, avg(z) as zt from zz group by task),"
     " k as (select rep, zz.task, w, z - zt as z from zz join m on zz.task = m.task), b2 as (select rep, sum(w * z) / sum(w) as zbar from k group by rep) select cast(k.rep as bigint) as rep, round(sum(w * (z - zbar) * (z - zbar)), 6) + 0.0 as q from k join b2 on k.rep = b2.rep group by k.rep",
 )
-add("jackknife", f"with {_PAIRED}, f as (select a.task, a.pid as fold, b.x, b.y from g a join g b on a.task = b.task and a.pid <> b.pid), r as (select task, fold, {rank('x', 'task, fold')} as rx, {rank('y', 'task, fold')} as ry from f) select task, fold, round({CORR}, 6) + 0.0 as rho from r group by task, fold")
+
+
+@operator(f"with {_PAIRED}, f as (select a.task, a.pid as fold, b.x, b.y from g a join g b on a.task = b.task and a.pid <> b.pid), r as (select task, fold, {rank('x', 'task, fold')} as rx, {rank('y', 'task, fold')} as ry from f) select task, fold, round({CORR}, 6) + 0.0 as rho from r group by task, fold")
+def jackknife(spark, sf_dir):
+    """Correlation without each participant, from sums: leaving one out lowers the ranks above by one and those of its equals by a half."""
+    return stats.leave_one_out(base(spark, sf_dir, _PAIRED, "g"), ["task"], "pid").select("task", F.col("pid").alias("fold"), rounded(F.col("rho")).alias("rho"))
+
+
 
 # Intervals and conversation
 
@@ -215,15 +233,25 @@ def floor_transfer(spark, sf_dir):
 
 
 add("turn_statistics", f"with {TURNS} select pid, speaker, count(*) as n_turns, round(sum(b - a), 4) as speech, round(avg(b - a), 4) as dur_mean, round(@pct(b - a, 0.5), 4) as dur_med, round(@pct(b - a, 0.9), 4) as dur_p90, round(@pct(b - a, 0.75) - @pct(b - a, 0.25), 4) as dur_iqr, round(avg(case when b - a > 0.3e0 then words / (b - a) end), 4) as speak_rate, round(avg(case when b - a < 1e0 then 1e0 else 0e0 end), 6) as backchannel_frac from tn group by pid, speaker")
-add(
-    "turn_convergence",
-    f"with {TURNS}, n as (select *, count(*) over (partition by pid) as n, lead(b - a) over (partition by pid order by k) as nd, lead(speaker) over (partition by pid order by k) as ns from tn)"
-    " select pid, count(*) as n_pairs, case when count(*) >= 6 then round(covar_pop(b - a, nd) / nullif(stddev_pop(b - a) * stddev_pop(nd), 0), 5) + 0.0 end as entrain, round(abs(@pct(case when k <= floor(n / 2) and speaker = 'child' then b - a end, 0.5) - @pct(case when k <= floor(n / 2) and speaker = 'examiner' then b - a end, 0.5)), 4) + 0.0 as first_gap from n where ns <> speaker group by pid",
+@operator(
+    f"with {TURNS}, h as (select *, b - a as d, row_number() over (partition by pid order by k) as i, count(*) over (partition by pid) as n, lead(speaker) over (partition by pid order by k) as ns, lead(b - a) over (partition by pid order by k) as nd from tn),"
+    " g as (select pid, count(*) filter (where speaker = 'child') as nc, count(*) filter (where speaker = 'examiner') as ne, quantile_cont(d, 0.5) filter (where speaker = 'child') as mc, quantile_cont(d, 0.5) filter (where speaker = 'examiner') as me,"
+    " abs(quantile_cont(d, 0.5) filter (where speaker = 'child' and i <= n // 2) - quantile_cont(d, 0.5) filter (where speaker = 'examiner' and i <= n // 2)) as d1, abs(quantile_cont(d, 0.5) filter (where speaker = 'child' and i > n // 2) - quantile_cont(d, 0.5) filter (where speaker = 'examiner' and i > n // 2)) as d2,"
+    " corr(d, nd) filter (where ns <> speaker) as r, count(*) filter (where ns <> speaker) as changes, stddev_pop(d) filter (where ns <> speaker) as sx, stddev_pop(nd) filter (where ns <> speaker) as sy from h group by pid)"
+    " select pid, round(mc / greatest(1e-6, me), 5) as ratio, case when changes >= 6 and sx > 0 and sy > 0 then round(r, 5) + 0.0 end as entrain, round(d1 - d2, 4) + 0.0 as convergence from g where nc >= 4 and ne >= 4"
 )
+def turn_convergence(spark, sf_dir):
+    """Ratio of the roles' turns, correlation of neighbours, and how far the roles' medians draw together."""
+    cells = base(spark, sf_dir, UT, "ut").where("speaker <> 'other'").selectExpr("*", "1 as task", "-1 as half", "0e0 as span")
+    built = conversation.turns(cells, conversation.SPAN)
+    rows = conversation.convergence(cells, built, built.select(*CELL).distinct()).groupBy("pid").pivot("feature", [f"dyad_turn_{k}" for k in ("dur_ratio", "dur_entrain", "convergence")]).agg(F.first("value"))
+    return rows.select("pid", F.round("dyad_turn_dur_ratio", 5).alias("ratio"), rounded(F.col("dyad_turn_dur_entrain"), 5).alias("entrain"), rounded(F.col("dyad_turn_convergence"), 4).alias("convergence")).where("ratio is not null")
+
+
 add(
     "replies",
     f"with {TURNS}, n as (select *, lead(speaker) over (partition by pid order by k) as ns, lead(a) over (partition by pid order by k) - b as gap from tn)"
-    " select pid, count(*) as n_exam_turns, round(avg(case when ns = 'child' and gap >= 0 and gap <= 2 then 1e0 else 0e0 end), 6) as reply_frac, round(@pct(case when ns = 'child' then gap end, 0.5), 4) + 0.0 as gap_med, round(avg(case when ns = 'child' then case when gap > 2 then 1e0 else 0e0 end end), 6) as long_frac from n where speaker = 'examiner' and ns is not null group by pid",
+    " select pid, count(*) as n_exam_turns, round(avg(case when ns = 'child' and gap >= 0 and gap <= 2 then 1e0 else 0e0 end), 6) as reply_frac, round(@pct(case when ns = 'child' then gap end, 0.5), 4) + 0.0 as gap_med, round(@pct(case when ns = 'child' then gap end, 0.9), 4) + 0.0 as gap_p90, round(avg(case when ns = 'child' then case when gap > 2 then 1e0 else 0e0 end end), 6) as long_frac from n where speaker = 'examiner' and ns is not null group by pid",
 )
 add(
     "utterance_text",
@@ -273,10 +301,11 @@ def rolling_median(spark, sf_dir):
 _DIFF = _G + ", df as (select pid, slot, x, x - lag(x) over w as d from gr window w as (partition by pid order by slot)), d2 as (select *, d - lag(d) over (partition by pid order by slot) as dd from df)"
 
 
-@operator(f"with {_DIFF} select pid, count(d) as n, round(avg(abs(d)), 4) as vel_mean, round(quantile_cont(abs(d), 0.5), 4) as vel_med, round(sqrt(avg(dd * dd)), 4) as acc_rms, count(*) filter (where abs(d) > 120) as jumps from d2 group by pid")
+@operator(f"with {_G}, g3 as (select pid, slot, 2 * x as x from gr), j as (select pid, slot, case when abs(x - lag(x) over (partition by pid order by slot)) > 120 then null else x end as x, coalesce(abs(x - lag(x) over (partition by pid order by slot)) > 120, false) as jump from g3), df as (select *, x - lag(x) over (partition by pid order by slot) as d from j), d2 as (select *, d - lag(d) over (partition by pid order by slot) as dd from df) select pid, count(d) as n, round(avg(abs(d)), 4) as vel_mean, round(quantile_cont(abs(d), 0.5), 4) as vel_med, round(sqrt(avg(dd * dd)), 4) as acc_rms, count(*) filter (where jump) as jumps from d2 group by pid")
 def adjacent_differences(spark, sf_dir):
-    d = grid.differenced(_grid(spark, sf_dir), ["pid"])
-    return d.groupBy("pid").agg(F.count("d").alias("n"), F.round(F.avg(F.abs("d")), 4).alias("vel_mean"), F.round(F.percentile(F.abs("d"), F.lit(0.5)), 4).alias("vel_med"), F.round(F.sqrt(F.avg(F.col("dd") * F.col("dd"))), 4).alias("acc_rms"), F.count_if(F.abs("d") > 120).alias("jumps"))
+    """Impossible jumps are blanked before the differences."""
+    d = grid.differenced(grid.blanked(_grid(spark, sf_dir).withColumn("x", F.col("x") * 2), ["pid"], 120.0), ["pid"])
+    return d.groupBy("pid").agg(F.count("d").alias("n"), F.round(F.avg(F.abs("d")), 4).alias("vel_mean"), F.round(F.percentile(F.abs("d"), F.lit(0.5)), 4).alias("vel_med"), F.round(F.sqrt(F.avg(F.col("dd") * F.col("dd"))), 4).alias("acc_rms"), F.count_if("jump").alias("jumps"))
 
 
 @operator(f"with {_G}, f as (select pid, slot, slot - row_number() over (partition by pid order by slot) as k from gr where x is not null), r as (select pid, k, count(*) as len from f group by pid, k having count(*) >= 2) select pid, count(*) as n_runs, max(len) as longest from r group by pid")
@@ -286,8 +315,17 @@ def contiguous_runs(spark, sf_dir):
 
 
 add("statistic_bundle", f"with {EV} select pid, task, count(h) as n, case when count(h) >= 4 then round(avg(h), 6) end as mean, case when count(h) >= 4 then round(sqrt(avg(h * h)), 6) end as rms, case when count(h) >= 4 then round(@pct(h, 0.5), 6) end as med, case when count(h) >= 4 then round(@pct(h, 0.9), 6) end as p90, case when count(h) >= 4 then round(@pct(h, 0.75) - @pct(h, 0.25), 6) end as iqr, round(stddev_pop(h), 6) as rms_disp, round(@pct(h, 0.95) - @pct(h, 0.05), 6) as spread from ev group by pid, task")
-_COMP = f"{EV}, dl as (select pid, t, event_id, x - lag(x) over (partition by pid order by t, event_id) as d from ev), sg as (select pid, sign(d) as s, lag(sign(d)) over (partition by pid order by t, event_id) as ls from dl where d is not null)"
-add("reversal_rate", f"with {_COMP} select pid, count(ls) as n, case when count(*) > 8 then round(avg(case when s <> ls then 1e0 else 0e0 end), 6) end as share from sg where ls is not null group by pid")
+@operator(
+    f"with {_G}, df as (select pid, slot, x - lag(x) over (partition by pid order by slot) as d from gr), s as (select pid, sign(d) as s, lag(sign(d)) over (partition by pid order by slot) as before from df where d is not null)"
+    " select pid, count(*) as n, case when count(*) > 8 then round(avg(case when before is not null then (s <> before)::int::double end) / 0.25, 6) end as rate from s group by pid"
+)
+def reversal_rate(spark, sf_dir):
+    """Changes of sign between successive differences that are known, over gaps of the grid."""
+    d = grid.differenced(_grid(spark, sf_dir), ["pid"])
+    rate = kinematics.reversals(d, ["pid"])
+    return d.groupBy("pid").agg(F.count("d").alias("n")).where("n > 0").join(rate, "pid").select("pid", "n", F.round("reversal_rate", 6).alias("rate"))
+
+
 add("burst_runs", f"with {EV}, q as (select pid, x, row_number() over (partition by pid order by t, event_id) as i from ev where h is not null), b as (select pid, i - row_number() over (partition by pid order by i) as k from q where x >= 50e0), r as (select pid, k, count(*) as len from b group by pid, k), s as (select pid, count(*) as n, avg(case when x < 20e0 then 1e0 else 0e0 end) as still, avg(case when x >= 50e0 then 1e0 else 0e0 end) as burst from q group by pid) select s.pid, s.n, round(still, 6) as still_frac, round(burst, 6) as burst_frac, count(len) as n_bursts, round(coalesce(avg(len), 0e0), 6) as burst_mean from s left join r on s.pid = r.pid group by s.pid, s.n, still, burst")
 add("mask_halves", f"with {EV}, m as (select pid, x, row_number() over (partition by pid order by t, event_id) - 1 as i, count(*) over (partition by pid) as n from ev) select pid, case when i < floor(n / 2) then 'first' else 'second' end as half, count(*) as n_half, round(avg(x), 6) as mean from m where n >= 8 group by pid, case when i < floor(n / 2) then 'first' else 'second' end")
 _SERIES = "fl as (select vec_id, i, @at(embedding, i) as v from (select vec_id, embedding, @series(1, 64) as i from embeddings) z)"
@@ -333,7 +371,16 @@ add("target_overlap", f"with {FEAT}, h as (select distinct pid, task from feat w
 add("dense_panel", f"with {FEAT}, p as (select l.pid, k.task from lab l cross join (select distinct task from feat) k) select p.pid, p.task, round(f.x, 6) as x from p left join (select * from feat where n_events >= 12) f on p.pid = f.pid and p.task = f.task")
 add("long_features", f"with {FEAT}, w as (select pid, task, 'x' as feature, x as value from feat union all select pid, task, 'top', top from feat union all select pid, task, 'sd', sd from feat), k as (select task, feature, count(value) as n, stddev_pop(value) as s from w group by task, feature) select w.task, w.feature, count(*) as n, round(avg(value), 6) as mean from w join k on w.task = k.task and w.feature = k.feature where value is not null and k.n >= 8 and k.s > 0 group by w.task, w.feature")
 add("keep_first", "with k as (select l_orderkey, l_partkey, l_quantity, row_number() over (partition by l_orderkey order by l_linenumber) as i from lineitem) select l_orderkey, l_partkey, l_quantity from k where i = 1")
-add("nearest_frame", f"with {EV}, p as (select pid, event_id, t from ev where task = 'purchase'), c as (select pid, event_id, t from ev where task = 'click'), j as (select p.pid, p.event_id, c.event_id as other, abs(p.t - c.t) as gap, row_number() over (partition by p.event_id order by abs(p.t - c.t), c.event_id) as i from p join c on p.pid = c.pid) select pid, event_id, other, round(gap, 3) as gap from j where i = 1")
+
+
+@operator(f"with {EV}, p as (select pid, event_id, t from ev where task = 'purchase'), c as (select pid, event_id, t from ev where task <> 'purchase'), j as (select p.pid, p.event_id, c.event_id as other, abs(p.t - c.t) as gap, row_number() over (partition by p.event_id order by abs(p.t - c.t), c.t, c.event_id) as i from p join c on p.pid = c.pid) select pid, event_id, other, round(gap, 3) as gap from j where i = 1")
+def nearest_frame(spark, sf_dir):
+    """For each purchase the nearest other event of the user, by the last one before and the first one after."""
+    ev = base(spark, sf_dir, EV, "ev")
+    found = intervals.nearest(ev.where("task = 'purchase'").select("pid", "event_id", "t"), ev.where("task <> 'purchase'").select("pid", F.col("event_id").alias("other"), "t"), ["pid"], "other")
+    return found.select("pid", "event_id", "other", F.round("gap", 3).alias("gap"))
+
+
 add("as_of_backward", f"with {EV} select pid, event_id, round(@lastof(case when task = 'click' then x end) over (partition by pid order by t, event_id rows between unbounded preceding and current row), 6) as last_click from ev")
 add("duration_summary", f"with {FEAT} select task, count(*) as n, round(avg(n_events), 6) as mean, round(stddev_samp(n_events), 6) as sd, min(n_events) as lo, round(@pct(n_events, 0.25), 6) as q25, round(@pct(n_events, 0.5), 6) as med, round(@pct(n_events, 0.75), 6) as q75, max(n_events) as hi from feat group by task")
 add("pair_minimum", f"with {FEAT}, p as (select a.task as ta, b.task as tb, least(a.n_events, b.n_events) as m from feat a join feat b on a.pid = b.pid and a.task < b.task) select ta, tb, count(*) as n, round(@pct(m, 0.5), 6) as med, round(@pct(m, 0.25), 6) as q25 from p group by ta, tb")
@@ -356,9 +403,25 @@ add("clipped_weight", f"with {EV} select event_id, round(least(1e0, greatest(0e0
 add("pooling_scalars", f"with {FEAT}, s as (select pid, task, (x - 50) / 50 as r from feat where x is not null) select pid, task, round(atanh(greatest(-0.999999e0, least(0.999999e0, r))), 6) + 0.0 as z, round(tanh(r), 6) + 0.0 as inv, round(sqrt(greatest(0e0, 2 * (1 + r))) - 1, 6) + 0.0 as lam_star, cast(sign(r) as bigint) as s from s")
 add("numeric_coercion", "select event_id, try_cast(case when event_id % 5 = 0 then 'n/a' else @str(event_id) end as double) as v from events")
 add("group_labels", "select c_custkey, case when c_mktsegment = 'BUILDING' then 'preterm' else 'other' end as grp, concat('d', c_custkey) like 'd1%' as fallback from customer")
-add("progress_halves", f"with {UNION}, c as (select e.pid, e.task, e.event_id, sum(greatest(0e0, least(e.t, u.b) - u.a)) as done, sum(u.b - u.a) as total from ev e join un u on e.pid = u.pid and e.task = u.task group by e.pid, e.task, e.event_id) select pid, task, count(*) filter (where done > 0 and done / total < 5e-1) as first_half, count(*) filter (where done = 0 or done / total >= 5e-1) as second_half, round(avg(done / total), 5) as mean_progress from c group by pid, task")
+
+
+@operator(
+    f"with {UNION}, c as (select e.pid, e.task, e.event_id, sum(greatest(0e0, least(e.t, u.b) - u.a)) as done, sum(u.b - u.a) as total from ev e join un u on e.pid = u.pid and e.task = u.task group by e.pid, e.task, e.event_id)"
+    " select pid, task, count(*) filter (where done > 0 and done / total < 5e-1) as first_half, count(*) filter (where done = 0 or done / total >= 5e-1) as second_half, count(*) filter (where done / total >= 5e-1) as said_second, round(avg(done / total), 5) as mean_progress from c group by pid, task"
+)
+def progress_halves(spark, sf_dir):
+    """Frames and utterances by the half of the covered time that they are in: each event against its key's spans, gathered once."""
+    ev = base(spark, sf_dir, SPANS, "ev")
+    held = intervals.union_spans(base(spark, sf_dir, SPANS, "sp"), ["pid", "task"]).groupBy("pid", "task").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("seconds"))
+    p = ev.join(held, ["pid", "task"]).withColumn("p", windows.progress(F.col("t"), F.col("spans"), F.col("seconds")))
+    count = lambda c, half: F.count_if(F.coalesce(c == half, F.lit(False)))
+    return p.groupBy("pid", "task").agg(
+        count(windows.frame_half(F.col("p")), "first").alias("first_half"), count(windows.frame_half(F.col("p")), "second").alias("second_half"), count(windows.utterance_half(F.col("p")), "second").alias("said_second"), F.round(F.avg("p"), 5).alias("mean_progress")
+    )
+
+
 add("cv_schedule", f"with {FEAT}, n as (select task, count(*) as n from feat where x is not null group by task) select task, n, case when n >= 40 then 5 when n >= 28 then 4 when n >= 18 then 3 when n >= 12 then 2 end as folds, case when n >= 28 then 10 when n >= 18 then 15 when n >= 12 then 20 end as repeats from n")
-add("stratified_folds", f"with {_PAIRED}, b as (select pid, task, y, ntile(4) over (partition by task order by y, pid) as stratum from g), f as (select pid, task, rep, stratum, (row_number() over (partition by task, rep, stratum order by md5(concat(rep, ':', pid)), pid) - 1) % 5 as fold from b, (select @series(1, 3) as rep) s) select task, cast(rep as bigint) as rep, cast(fold as int) as fold, count(*) as n, count(distinct stratum) as n_strata from f group by task, rep, fold")
+add("stratified_folds", f"with {_PAIRED}, q as (select task, @pct(y, 0.25) as e1, @pct(y, 0.5) as e2, @pct(y, 0.75) as e3 from g group by task), b as (select pid, g.task, y, case when y < e1 then 1 when y < e2 then 2 when y < e3 then 3 else 4 end as stratum from g join q on g.task = q.task), f as (select pid, task, rep, stratum, (row_number() over (partition by task, rep, stratum order by md5(concat(rep, ':', pid)), pid) - 1) % 5 as fold from b, (select @series(1, 3) as rep) s) select task, cast(rep as bigint) as rep, cast(fold as int) as fold, count(*) as n, count(distinct stratum) as n_strata from f group by task, rep, fold")
 add(
     "ridge_leave_one_out",
     f"with {_PAIRED}, s as (select task, (x - avg(x) over w) / nullif(stddev_pop(x) over w, 0) as z, y - avg(y) over w as yc, count(*) over w as n from g window w as (partition by task)), m as (select task, sum(z * yc) as zy, sum(z * z) as zz from s group by task), al as (select @series(0, 29) as i), a2 as (select i, power(10e0, -1 + 5e0 * i / 29) as alpha from al),"

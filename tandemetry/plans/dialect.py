@@ -22,6 +22,7 @@ MARKS = {
     "@div": ("cast(floor({0} / {1}) as bigint)", "cast(floor({0} / {1}) as bigint)"),
     "@lastof": ("last_value({0}) ignore nulls", "last_value({0} ignore nulls)"),
     "@hash": ("aggregate(split({0}, ''), 0L, (h, c) -> (h * 131 + ascii(c)) % 1000003)", "list_reduce(list_prepend(0::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)), lambda h, c: (h * 131 + c) % 1000003)"),
+    "@lastby": ("max_by({0}, struct({1}, {0}))", "max_by({0}, row({1}, {0}))"),
     "@at": ("element_at({0}, {1})", "{0}[{1}]"),
 }
 

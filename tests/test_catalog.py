@@ -1,6 +1,6 @@
 import pytest
 
-from tandemetry.plans import catalog, motion  # noqa: F401  motion adds to the queries of the catalog
+from tandemetry.plans import catalog, extras, motion  # noqa: F401  the others add to the queries of the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
