@@ -10,11 +10,11 @@ all pairs, which would shuffle the corpus once a round.
 
 For each window the symbols that follow from the window's words alone are known
 exactly, level by level: at either end a symbol is dropped if it could join one
-outside.  A window is anchored at the least such symbol of its highest level
-that has any, a function of its words, and keyed by the half window of words that
-ends with the symbol, or begins with it where the other would leave the window.
-Equal windows thus share their key.  Keys are what Spark shuffles: one that also
-occurs in a document of a smaller doc_id reveals a candidate.  Only windows on such anchors are hashed by
+outside.  Equal windows thus have equal interior symbols.  A window is anchored at
+the least stretch of STRETCH neighbouring interior symbols of its highest level that
+has so many (of any, where no level has), a function of its words, and keyed by the
+names of these symbols.  Keys are what Spark shuffles: one that also occurs in a
+document of a smaller doc_id reveals a candidate.  Only windows on such anchors are hashed by
 their 50 words (128 bits) and shuffled to verify the repeat and to find the
 smallest document that holds it.
 
@@ -43,6 +43,10 @@ from tandemetry.llm.common import by_ids, drop_staged, staged, tidied
 WINDOW = 50
 #: Rounds of naming: symbols then stand for (4/3)**ROUNDS words on average.
 ROUNDS = 4
+#: Neighbouring symbols that make a key.
+STRETCH = 4
+#: Rows of one key beyond which a join broadcasts it, so that no task gets them all, and keys that a broadcast may hold.
+HOT_ROWS, HOT_KEYS = 10_000, 1_000_000
 #: What stands for a null doc_id in comparisons.
 LAST = (1 << 63) - 1
 
@@ -61,8 +65,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
     symbols = h
     doc = K.groups(first)
     low, high = starts.copy(), starts + window  # symbols [low, high) follow from the window alone
-    place = np.arange(len(h) + 1)  # first word of each symbol
-    begin_at, end_at = _least(symbols, place, low, high, starts, starts, np.ones(len(starts), bool), 0)
+    keys = _least(symbols, low, high, np.zeros(len(starts), K.U64), 0)
     for level in range(1, rounds + 1):
         # runs: equal neighbours become one symbol; a run at either end of a window may go on outside
         n = len(symbols)
@@ -74,7 +77,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
         named = symbols[begin]
         long = length > 1
         named[long] = _names(named[long], length[long].astype(np.uint64), 2 * level)
-        doc, place = doc[begin], place[np.append(begin, n)]
+        doc = doc[begin]
         last = np.minimum(high, n) - 1
         some = high > low
         # a run that the window may cut is unknown, be it cut or not: at its ends nobody can tell
@@ -92,7 +95,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
         named = symbols[begin]
         pair = joins[begin]
         named[pair] = _names(symbols[begin[pair]], symbols[begin[pair] + 1], 2 * level + 1)
-        doc, place = doc[begin], place[np.append(begin, n)]
+        doc = doc[begin]
         some = high > low
         at = np.minimum(low, n - 1)
         low = np.where(some, low + right[at], 0)  # a right symbol at the low end may belong to a pair outside
@@ -102,35 +105,34 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int
         bounds = np.append(index, len(named))
         low, high = np.where(some, bounds[low], 0), np.where(some, bounds[np.maximum(high - 1, 0)] + 1, 0)
         symbols = named
-        begin_at, end_at = _least(symbols, place, low, high, begin_at, end_at, some, level)
-    context = (window + 1) // 2
-    around = K.rolling(h, context, K.P1)
-    left = end_at - context >= starts
-    return starts, around[np.where(left, end_at - context, begin_at)] + left.astype(np.uint64)
-
-
-def _least(symbols: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, begin_at: np.ndarray, end_at: np.ndarray, some: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word, and the word after the last, of the leftmost least symbol in symbols[low:high] of each window that has any there, else what they were before."""
-    a, width = low[some], (high - low)[some]
-    if not len(a):
-        return begin_at, end_at
-    names = K.mix(symbols ^ K.U64(0x1234567 + level))
-    table, step = np.arange(len(names)), 1
-    got = np.empty(len(a), np.int64)
+        keys = _least(symbols, low, high, keys, level)
+    return starts, keys
+
+
+def _least(symbols: np.ndarray, low: np.ndarray, high: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:
+    """The least name of STRETCH neighbouring symbols in symbols[low:high] of each window that has as many, else its key so far."""
+    some = high - low >= STRETCH
+    if not some.any():
+        return keys
+    a, width = low[some], (high - low)[some] - STRETCH + 1
+    with np.errstate(over="ignore"):
+        names = np.full(len(symbols) - STRETCH + 1, K.U64(0x1234567 + level))
+        for k in range(STRETCH):
+            names = K.mix(names * K.U64(3) + symbols[k : len(symbols) - STRETCH + 1 + k])
+    table, step = names, 1
+    got = np.empty(len(a), K.U64)
     top = int(np.floor(np.log2(width.max())))
     for k in range(top + 1):
         mine = (width >= step) & (width < 2 * step)
         if mine.any():
             x = a[mine]
-            u, v = table[x], table[x + width[mine] - step]
-            got[mine] = np.where(names[u] <= names[v], u, v)
+            got[mine] = np.minimum(table[x], table[x + width[mine] - step])
         if k < top and len(table) > step:
-            u, v = table[:-step], table[step:]
-            table = np.where(names[u] <= names[v], u, v)
+            table = np.minimum(table[:-step], table[step:])
         step *= 2
-    begin_at, end_at = begin_at.copy(), end_at.copy()
-    begin_at[some], end_at[some] = place[got], place[got + 1]
-    return begin_at, end_at
+    keys = keys.copy()
+    keys[some] = got
+    return keys
 
 
 def windows(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +233,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to a table of distinct keys with their number of rows, n.  Keys of more than HOT_ROWS rows are few, and broadcast where a count proves it; the others shuffle."""
+    keyed = staged(keyed, "keyed")
+    hot = staged(keyed.where(F.col("n") > HOT_ROWS), "hot")
+    n_hot = hot.count()
+    if not n_hot or n_hot > HOT_KEYS:
+        return rows.join(keyed.hint("merge"), keys)
+    near = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col("n") <= HOT_ROWS).hint("merge"), keys)
+    return near.unionByName(rest)
+
+
 def find(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(a row a document: doc_id, ord, k1, k2, n_words, sha, least), (ord, starts of removed windows of representatives)."""
     rows = _keyed(docs)
@@ -241,13 +255,13 @@ def find(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[D
     # anchors of representatives; equal texts have equal anchors
     reps = passed.select("ord", "k1", "k2", "anchors").join(groups, ["k1", "k2"]).where("ord = least").select("ord", F.explode("anchors").alias("anchor"))
     reps = staged(reps, "anchors")
-    shared = reps.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi")
-    candidates = reps.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("shared"))
+    shared = reps.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("anchor", "n")
+    candidates = _join_hot(reps, shared, ["anchor"]).groupBy("ord").agg(F.collect_set("anchor").alias("shared"))
     candidates = staged(candidates, "candidates")
     texts = rows.select("ord", "text").join(candidates.hint("merge"), "ord")
     found = staged(texts.mapInArrow(tidied(_second_pass(window, rounds)), "ord long, at int, w1 long, w2 long"), "windows")
-    least = found.groupBy("w1", "w2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi").select("w1", "w2", "lo")
-    gone = staged(found.join(least, ["w1", "w2"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts")), "gone")
+    least = found.groupBy("w1", "w2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("w1", "w2", "lo", "n")
+    gone = staged(_join_hot(found, least, ["w1", "w2"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts")), "gone")
     drop_staged(reps, candidates, found)
     return passed.drop("anchors").join(groups, ["k1", "k2"]), gone
 

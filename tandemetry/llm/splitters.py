@@ -2,10 +2,11 @@
 
 Records are ordered by a key: a hash of the text, then the doc_id.  A
 size-weighted sample of keys gives quantile boundaries; records are
-range-partitioned by them, and ranges that turn out overfull (a hot group of
-copies) are subdivided by a hash of the doc_id.  Exact sums of the ranges, a
-table bounded by the number of ranges, then place each record on one line of
-cumulated bytes, which shard ends cut into equal parts.
+range-partitioned by them, each range into stretches of about STRETCH_BYTES, so their
+number grows with the input; as keys are hashes, a stretch is a part of the range's
+keys.  Stretches that turn out overfull (a hot group of copies) are subdivided by a
+hash of the doc_id.  Exact sums of the stretches then place each record on one line
+of cumulated bytes, which shard ends cut into equal parts.
 
 The law that holds is `bytes`: the sizes of any two shards differ by about one
 record, or one small group of copies.  Rows with equal texts go to one shard
@@ -27,6 +28,10 @@ from tandemetry.llm.common import drop_staged, staged
 OVERHEAD = 16
 #: Ranges for each shard, and sampled keys for each range.
 RANGES_A_SHARD, SAMPLES_A_RANGE = 8, 100
+#: Bytes that one stretch of a range, which one task sorts, holds about.
+STRETCH_BYTES = 1 << 28
+#: Rows of the table of stretches that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: A group of equal texts of at most this share of a shard is not divided.
 GROUP_SHARE = 0.01
 
@@ -73,14 +78,25 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     target = max(1.0, total / shards)
     bounds = splitters(records, shards, total)
     share = max(1.0, target / RANGES_A_SHARD)
+    ends = [-(1 << 63), *bounds, 1 << 63]
+    low, high = (F.element_at(F.array(*(F.lit(float(e)) for e in part)), F.col("r") + 1) for part in (ends[:-1], ends[1:]))
     ranged = records.withColumn("r", _range_of(F.col("h"), bounds))
-    sizes = ranged.groupBy("r").agg(F.sum("size").alias("range_size"))
-    # overfull ranges are subdivided; the table of ranges is bounded by shards * RANGES_A_SHARD
-    parts = F.when(F.col("range_size") > 2 * share, F.ceil(F.col("range_size") / share)).otherwise(1).cast("int")
-    split = ranged.join(F.broadcast(sizes.select("r", parts.alias("parts"))), "r").withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit("sub"), "doc_id"), F.col("parts"))).otherwise(0).cast("int"))
-    line = ["r", "sub"]
-    base = split.groupBy(*line).agg(F.sum("size").alias("bytes")).withColumn("base", F.sum("bytes").over(Window.orderBy(*line).rowsBetween(Window.unboundedPreceding, -1)))
-    split = split.join(F.broadcast(base.select(*line, F.coalesce("base", F.lit(0)).alias("base"))), line)
+    pieces = ranged.groupBy("r").agg(F.ceil(F.sum("size") / STRETCH_BYTES).cast("long").alias("pieces"))
+    # the table of ranges is bounded by shards * RANGES_A_SHARD
+    cut = ranged.join(F.broadcast(pieces), "r").withColumn("s", F.least(F.col("pieces") - 1, F.floor((F.col("h") - low) / (high - low) * F.col("pieces"))).cast("long")).drop("pieces")
+    sizes = staged(cut.groupBy("r", "s").agg(F.sum("size").alias("piece_size")), "stretches")
+    few = sizes.count() <= BROADCAST_ROWS
+    some = F.broadcast if few else (lambda df: df.hint("merge"))
+    most = min(share, float(STRETCH_BYTES))
+    parts = F.when(F.col("piece_size") > 2 * most, F.ceil(F.col("piece_size") / most)).otherwise(1).cast("int")
+    split = cut.join(some(sizes.select("r", "s", parts.alias("parts"))), ["r", "s"]).withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit("sub"), "doc_id"), F.col("parts"))).otherwise(0).cast("int"))
+    line = ["r", "s", "sub"]
+    sums = split.groupBy(*line).agg(F.sum("size").alias("bytes"))
+    # cumulated within ranges, then over the ranges, so no task sees all stretches
+    of_range = sums.groupBy("r").agg(F.sum("bytes").alias("range_bytes")).withColumn("range_base", F.coalesce(F.sum("range_bytes").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = sums.withColumn("inside", F.coalesce(F.sum("bytes").over(Window.partitionBy("r").orderBy("s", "sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = inside.join(F.broadcast(of_range), "r").select(*line, (F.col("inside") + F.col("range_base")).alias("base"))
+    split = split.join(some(base), line)
     ordered = Window.partitionBy(*line).orderBy("h", "doc_id", "size", "text_crc32")
     before = F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     of_group = Window.partitionBy(*line, "h")
@@ -101,6 +117,6 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     )
     return (
         placed.withColumn("rn", F.row_number().over(own))
-        .join(F.broadcast(ahead.select("shard", *line, "ahead")), ["shard", *line])
+        .join(some(ahead.select("shard", *line, "ahead")), ["shard", *line])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("rn") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

@@ -85,7 +85,9 @@ def test_odd_rows_and_empty_tables(spark):
     assert quality_forest.rate(none, quality_forest.fit(none, labels)).count() == 0
 
 
-def test_passages_go_but_the_first_document_keeps_them(spark):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_passages_go_but_the_first_document_keeps_them(spark, monkeypatch, hot):
+    monkeypatch.setattr(recompression, "HOT_ROWS", hot)
     texts = made_texts(2, 30)
     passage = " ".join(f"p{i}" for i in range(80))
     rows = [(i, t + (" " + passage if i % 3 == 0 else "") + " end", "s", "c") for i, t in enumerate(texts)]
@@ -136,7 +138,10 @@ def test_a_chain_in_one_bucket_is_one_class():
     assert len(bagminhash._links(rows, 0.8, 0.6)) == 3
 
 
-def test_shards_are_gapless_and_near_equal(spark):
+@pytest.mark.parametrize(("stretch", "broadcast"), [(1 << 28, 1_000_000), (3000, 1_000_000), (3000, 0)])
+def test_shards_are_gapless_and_near_equal(spark, monkeypatch, stretch, broadcast):
+    monkeypatch.setattr(splitters, "STRETCH_BYTES", stretch)
+    monkeypatch.setattr(splitters, "BROADCAST_ROWS", broadcast)
     rng = random.Random(1)
     rows = [(i, "same" * 50 if i % 3 == 0 else "x" * rng.randrange(400), "s", "c") for i in range(3000)]
     got = splitters.shard(frame(spark, rows), 8).toPandas()
