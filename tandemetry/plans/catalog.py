@@ -301,11 +301,11 @@ def rolling_median(spark, sf_dir):
 _DIFF = _G + ", df as (select pid, slot, x, x - lag(x) over w as d from gr window w as (partition by pid order by slot)), d2 as (select *, d - lag(d) over (partition by pid order by slot) as dd from df)"
 
 
-@operator(f"with {_G}, g3 as (select pid, slot, 2 * x as x from gr), j as (select pid, slot, case when abs(x - lag(x) over (partition by pid order by slot)) > 120 then null else x end as x, coalesce(abs(x - lag(x) over (partition by pid order by slot)) > 120, false) as jump from g3), df as (select *, x - lag(x) over (partition by pid order by slot) as d from j), d2 as (select *, d - lag(d) over (partition by pid order by slot) as dd from df) select pid, count(d) as n, round(avg(abs(d)), 4) as vel_mean, round(quantile_cont(abs(d), 0.5), 4) as vel_med, round(sqrt(avg(dd * dd)), 4) as acc_rms, count(*) filter (where jump) as jumps from d2 group by pid")
+@operator(f"with {_G}, g3 as (select pid, slot, 2 * x as x from gr), j as (select pid, slot, case when abs(x - lag(x) over (partition by pid order by slot)) > 120 then null else x end as x, coalesce(abs(x - lag(x) over (partition by pid order by slot)) > 120, false) as jump from g3), df as (select *, x - lag(x) over (partition by pid order by slot) as d from j), d2 as (select *, d - lag(d) over (partition by pid order by slot) as dd from df) select pid, count(d) as n, round(avg(abs(d)), 8) as vel_mean, round(quantile_cont(abs(d), 0.5), 4) as vel_med, round(sqrt(avg(dd * dd)), 8) as acc_rms, count(*) filter (where jump) as jumps from d2 group by pid")
 def adjacent_differences(spark, sf_dir):
     """Impossible jumps are blanked before the differences."""
     d = grid.differenced(grid.blanked(_grid(spark, sf_dir).withColumn("x", F.col("x") * 2), ["pid"], 120.0), ["pid"])
-    return d.groupBy("pid").agg(F.count("d").alias("n"), F.round(F.avg(F.abs("d")), 4).alias("vel_mean"), F.round(F.percentile(F.abs("d"), F.lit(0.5)), 4).alias("vel_med"), F.round(F.sqrt(F.avg(F.col("dd") * F.col("dd"))), 4).alias("acc_rms"), F.count_if("jump").alias("jumps"))
+    return d.groupBy("pid").agg(F.count("d").alias("n"), F.round(F.avg(F.abs("d")), 8).alias("vel_mean"), F.round(F.percentile(F.abs("d"), F.lit(0.5)), 4).alias("vel_med"), F.round(F.sqrt(F.avg(F.col("dd") * F.col("dd"))), 8).alias("acc_rms"), F.count_if("jump").alias("jumps"))
 
 
 @operator(f"with {_G}, f as (select pid, slot, slot - row_number() over (partition by pid order by slot) as k from gr where x is not null), r as (select pid, k, count(*) as len from f group by pid, k having count(*) >= 2) select pid, count(*) as n_runs, max(len) as longest from r group by pid")

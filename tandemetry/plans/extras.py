@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tandemetry.functions import text
 from tandemetry.functions.staging import staged
 from tandemetry.functions.stats import rounded, spearman
-from tandemetry.operators import conversation, kinematics, recordings, screening, synchrony, windows
+from tandemetry.operators import conversation, kinematics, recordings, relational, screening, synchrony, windows
 from tandemetry.operators.features import CELL
 from tandemetry.plans.catalog import _CROSS, CORR, EV, FEAT, QUERIES, UT, base, operator, rank
 from tandemetry.plans.dialect import spark_sql
@@ -348,5 +348,82 @@ def correlation_histogram(spark, sf_dir):
     return screening.histogram(r, "r", -0.6, 1.0, 32).select("bin", F.round("lo", 2).alias("lo"), "n")
 
 
+# Selections and lookups
+
+
+@operator(f"with {EV}, q as (select pid, x, row_number() over (partition by pid order by t, event_id) as i from ev), b as (select pid, i, i - row_number() over (partition by pid order by i) as k from q where x >= 30), r as (select pid, min(i) as first, count(*) as length from b group by pid, k having count(*) >= 2), p as (select *, row_number() over (partition by pid order by length desc, first) as place from r) select pid, first, length, place from p where place <= 6")
+def longest_runs(spark, sf_dir):
+    """The six longest runs of large values."""
+    rows = spark_sql(spark, sf_dir, f"with {EV} select pid, x, row_number() over (partition by pid order by t, event_id) as i from ev").withColumn("on", F.col("x") >= 30)
+    return relational.longest_runs(rows, ["pid"], "i", "on", 6, 2).select("pid", F.col("first").cast("long").alias("first"), "length", F.col("place").cast("long").alias("place"))
+
+
+@operator(f"with {FEAT}, c as (select pid, task, x - 50 as r, top > 90 as ok from feat where x is not null), k as (select *, row_number() over (partition by pid order by case when ok then 0 else 1 end, abs(r) desc, task) as i from c) select pid, task, round(r, 6) + 0.0 as r, case when ok then 'stage' else 'fallback' end as stage from k where i = 1")
+def strongest_or_fallback(spark, sf_dir):
+    """The strongest of those that pass, else of all."""
+    rows = base(spark, sf_dir, FEAT, "feat").where("x is not null").withColumn("r", F.col("x") - 50)
+    return relational.strongest(rows, ["pid"], "r", F.col("top") > 90, "task").select("pid", "task", rounded(F.col("r")).alias("r"), "stage")
+
+
+@operator(f"with {EV}, c as (select pid, task, count(*) as n, min((t, event_id)) as f from ev group by pid, task), r as (select *, row_number() over (partition by pid order by n desc, f) as place from c) select pid, task, n, place from r where place <= 3")
+def commonest_first_seen(spark, sf_dir):
+    """The three commonest tasks, of equals the one seen first."""
+    rows = base(spark, sf_dir, EV, "ev").withColumn("seen", F.struct("t", "event_id"))
+    return relational.most_common(rows, ["pid"], "task", "seen", 3).select("pid", "task", "n", F.col("place").cast("long").alias("place"))
+
+
+@operator(f"with {FEAT}, h as (select *, n_events // 4 as v from feat), e as (select list_distinct([quantile_cont(v, 0.0), quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.75), quantile_cont(v, 1.0)]) as e from h), s as (select list_sort(e) as e from e), b as (select v, 1 + len(list_filter(e[2:len(e) - 1], lambda x: x < v)) as bin from h, s) select bin::bigint as bin, count(*) as n, min(v) as lo, max(v) as hi from b group by bin")
+def distinct_quantile_bins(spark, sf_dir):
+    """Quartile bins whose equal edges are one."""
+    rows = base(spark, sf_dir, FEAT, "feat").withColumn("v", F.floor(F.col("n_events") / 4))
+    return relational.quantile_bins(rows, "v").groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+@operator(f"with {_CROSS}, r as (select ta, tb, ({rank('xa', 'ta, tb')} + {rank('xb', 'ta, tb')}) / 2 as z, {rank('y', 'ta, tb')} as ry from ab), q as (select *, {rank('z', 'ta, tb')} as rz from r) select ta, tb, count(*) as n, round(corr(z, ry), 6) + 0.0 as pooled, round(corr(rz, ry), 6) + 0.0 as again from q group by ta, tb")
+def rerank_comparison(spark, sf_dir):
+    """Pooled ranks as they are, and ranked anew."""
+    return relational.reranked(base(spark, sf_dir, _CROSS, "ab"), ["ta", "tb"]).select("ta", "tb", "n", rounded(F.col("pooled")).alias("pooled"), rounded(F.col("again")).alias("again"))
+
+
+@operator(f"with {EV}, o as (select pid, min(t) as t0 from ev group by pid), p as (select pid, i as part, t0 + i * 200000.0 as a, t0 + i * 200000.0 + 150000.0 as b from o, range(0, 30) s(i)) select e.pid, event_id, part, round(e.t - p.a, 3) as local from ev e join p on e.pid = p.pid and e.t >= p.a and e.t < p.b")
+def recording_parts(spark, sf_dir):
+    """The part of a recording that an event is in, and its time there."""
+    ev = base(spark, sf_dir, EV, "ev")
+    parts = ev.groupBy("pid").agg(F.min("t").alias("t0")).select("pid", "t0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("part")).select("pid", "part", (F.col("t0") + F.col("part") * 200000.0).alias("a"), (F.col("t0") + F.col("part") * 200000.0 + 150000.0).alias("b"))
+    return relational.part_of(ev, parts, ["pid"]).select("pid", "event_id", "part", F.round("local", 3).alias("local"))
+
+
+@operator(
+    _TALK + ", cc as (select *, case when lag(speaker) over w <> speaker and a - lag(b) over w <= 3 then 0 else 1 end as fresh from tn window w as (partition by pid, task, span order by k)), ci as (select *, sum(fresh) over (partition by pid, task, span order by k rows unbounded preceding) as c from cc), cn as (select pid, task, arg_min(speaker, k) as who, count(*) as len from ci group by pid, task, span, c),"
+    " rl as (select unnest(['child', 'examiner']) as initiator), e as (select sec.pid, sec.task, seconds, initiator from sec join en using (pid, task) cross join rl) select e.pid, e.task, initiator, count(len) as n, count(len) filter (where len >= 4) as ge4, round(count(len) filter (where len >= 4) / (any_value(seconds) / 60), 6) + 0.0 as ge4_per_min, count(len) > 0 as any from e left join cn on cn.pid = e.pid and cn.task = e.task and cn.who = e.initiator group by e.pid, e.task, initiator"
+)
+def initiator_counts(spark, sf_dir):
+    """Chains that each person began, with rows of none."""
+    said, seconds = conversation.gated(*_talk(spark, sf_dir))
+    chains = conversation.chains(conversation.turns(said, conversation.SPAN), conversation.SPAN)
+    return relational.initiated(chains, seconds, list(CELL)).select("pid", "task", "initiator", "n", "ge4", rounded(F.col("ge4_per_min")).alias("ge4_per_min"), "any")
+
+
+@operator(f"with {_CROSS}, r as (select ta, tb, {rank('xa', 'ta, tb')} as rx, {rank('xb', 'ta, tb')} as ry from ab), c as (select ta, tb, corr(rx, ry) as r from r group by ta, tb) select ta, tb, round(r, 6) + 0.0 as r from c order by r desc, ta, tb limit 8")
+def highest_eight(spark, sf_dir):
+    """The eight pairs of tasks that agree best."""
+    feat = base(spark, sf_dir, FEAT, "feat").select("task", "pid", F.lit("x").alias("feature"), F.col("x").alias("value"))
+    r = screening.task_correlations(feat)
+    return relational.top_rows(r, [F.col("r").desc(), F.col("task_a"), F.col("task_b")], 8).select(F.col("task_a").alias("ta"), F.col("task_b").alias("tb"), rounded(F.col("r")).alias("r"))
+
+
+@operator(
+    f"with {FEAT}, h as (select *, case when pid % 3 = 0 then 'child' else 'dyad' end as source from feat), j as (select pid, task, source, x as v, 'mean' as feature from h where x is not null union all select pid, task, source, top, 'top' from h), s as (select source, feature, task, avg(v) - 50 as rho, count(*) as n from j group by all), t as (select * from s where abs(rho) > 1)"
+    " select source, feature, count(distinct task) as n_targets, string_agg(distinct task, '|' order by task) as targets, bool_or(task = 'click') as on_click, bool_or(task = 'view') as on_view, round(max(rho) filter (where task = 'click'), 6) + 0.0 as rho_click, round(max(rho) filter (where task = 'view'), 6) + 0.0 as rho_view from t group by source, feature"
+)
+def overlap_by_target(spark, sf_dir):
+    """Targets that each feature hits, with a flag and a correlation for each target."""
+    feat = base(spark, sf_dir, FEAT, "feat").withColumn("source", F.when(F.col("pid") % 3 == 0, "child").otherwise("dyad"))
+    each = feat.select("source", "task", F.explode(F.array(F.struct(F.lit("mean").alias("feature"), F.col("x").alias("v")), F.struct(F.lit("top").alias("feature"), F.col("top").alias("v")))).alias("f")).select("source", "task", "f.*").where("v is not null")
+    hits = each.groupBy("source", "feature", F.col("task").alias("target")).agg((F.avg("v") - 50).alias("rho"), F.count("*").alias("n")).where(F.abs("rho") > 1).withColumn("task", F.lit(1))
+    got = screening.target_overlap(hits, ["click", "view"])
+    return got.select("source", "feature", "n_targets", "targets", "on_click", "on_view", rounded(F.col("rho_click")).alias("rho_click"), rounded(F.col("rho_view")).alias("rho_view"))
+
+
 for _query in (dyad_synchrony, head_entropy, body_spectrum, pair_intervals, pool_intervals, heterogeneity_bootstrap, largest_contrast):
     QUERIES[_query.__name__] = _query
