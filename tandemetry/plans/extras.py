@@ -244,6 +244,22 @@ def keyword_blobs(spark, sf_dir):
     return _long(windows.keywords(cut, held, {2: ("the", "and", "ing ")}), ".")
 
 
+@operator(
+    _TALK + ", pc as (select cg.*, (a + b) / 2 as mid from cg), pp as (select pc.pid, pc.task, pc.span, pc.speaker, pc.a, pc.b, sum(greatest(0, least(pc.mid, g.b) - g.a)) / any_value(seconds) as p from pc join sg g on g.pid = pc.pid and g.task = pc.task join sec on sec.pid = pc.pid and sec.task = pc.task group by pc.pid, pc.task, pc.span, pc.speaker, pc.a, pc.b, pc.turn),"
+    " hf as (select *, case when p >= 0.5 then 2 when p > 0 then 1 end as part from pp), h as (select * from hf where part is not null), cv as " + _covered("h", "pid, task, part, speaker") + ","
+    " f0 as (select *, case when lag(speaker) over w = speaker and a - lag(b) over w <= 1 then 0 else 1 end as fresh from h window w as (partition by pid, task, span, part order by a, b)), tc as (select pid, task, part, speaker, sum(fresh) as n from f0 group by all),"
+    " gr as (select s.pid, s.task, seconds, part, speaker from sec s join en using (pid, task), (select unnest([1, 2]) as part) x, (select unnest(['child', 'examiner']) as speaker) y where seconds > 2),"
+    " v as (select pid, task, speaker, part, coalesce(total, 0) / (seconds / 2) as speech_frac, coalesce(n, 0) / (seconds / 120) as turn_rate from gr left join cv using (pid, task, part, speaker) left join tc using (pid, task, part, speaker)),"
+    " d as (select pid, task, speaker, sum(speech_frac * (2 * part - 3)) as sf, sum(turn_rate * (2 * part - 3)) as tr from v group by all) select pid, task, 'win_' || speaker || '_speech_frac_delta' as feature, round(sf, 4) + 0.0 as value from d union all select pid, task, 'win_' || speaker || '_turn_rate_delta', round(tr, 4) + 0.0 from d"
+)
+def half_changes(spark, sf_dir):
+    """Speech and turns of the second half of an activity less the first, turns built within the half and the span."""
+    said, spans = _talk(spark, sf_dir)
+    cut, seconds = conversation.gated(said, spans)
+    held = windows.activities(spans, 0.0).join(seconds.select(*CELL), list(CELL))
+    return _long(windows.speech_change(cut.drop("seconds"), held), ".")
+
+
 # Statistics that decide
 
 _Z = f"{FEAT}, g as (select f.pid, f.task, f.x, l.y from feat f join lab l using (pid) where f.x is not null), r as (select task, {rank('x', 'task')} as rx, {rank('y', 'task')} as ry from g), q as (select task, count(*) as n, {CORR} as rho from r group by task), z as (select task, n - 3 as w, atanh(rho) as z from q)"
@@ -292,10 +308,7 @@ def mann_whitney_p(spark, sf_dir):
 @operator(f"with {FEAT}, l as (select pid, task, 'x' as feature, x as v from feat union all select pid, task, 'top', top from feat union all select pid, task, 'sd', sd from feat), t as (select pid, 'mean' as target, y from lab union all select pid, 'n', n_all from lab), j as (select task, target, feature, l.pid, v, y from l join t using (pid) where v is not null and y is not null), r as (select task, target, feature, {rank('v', 'task, target, feature')} as rx, {rank('y', 'task, target, feature')} as ry from j), c as (select task, target, feature, count(*) as n, corr(rx, ry) as rho from r group by all), p as (select *, 1 - abs(rho) as p from c where n >= 8), b as (select *, count(p) over (partition by task, target) as m, row_number() over (partition by task, target order by p, feature) as i from p) select task, target, feature, n, round(rho, 6) + 0.0 as rho, m, round(least(1, min(p * m / i) over (partition by task, target order by p, feature rows between current row and unbounded following)), 6) as q from b")
 def families_controlled(spark, sf_dir):
     """False discovery control within each task and target, of many features (p stands in: one less the correlation's size)."""
-    feat, lab = base(spark, sf_dir, FEAT, "feat"), base(spark, sf_dir, FEAT, "lab")
-    long = feat.select("pid", "task", F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("value")) for k in ("x", "top", "sd")))).alias("f")).select("pid", "task", "f.*")
-    targets = lab.select("pid", F.explode(F.array(F.struct(F.lit("mean").alias("target"), F.col("y").alias("y")), F.struct(F.lit("n").alias("target"), F.col("n_all").cast("double").alias("y")))).alias("t")).select("pid", "t.*")
-    rho = spearman(screening.observed(long, targets), ["task", "target", "feature"]).withColumn("p", 1 - F.abs("rho"))
+    rho = spearman(_features_and_targets(spark, sf_dir), ["task", "target", "feature"]).withColumn("p", 1 - F.abs("rho"))
     return screening.controlled(rho).select("task", "target", "feature", "n", rounded(F.col("rho")).alias("rho"), "m", F.round("q", 6).alias("q"))
 
 
@@ -307,6 +320,34 @@ def duration_partials(spark, sf_dir):
     return got.select("task", "n", rounded(F.col("rho")).alias("rho"), rounded(F.col("rho_duration")).alias("rho_duration"), rounded(F.col("partial")).alias("partial"), "rate_normalised", "sign_survives")
 
 
+def _features_and_targets(spark, sf_dir) -> DataFrame:
+    feat, lab = base(spark, sf_dir, FEAT, "feat"), base(spark, sf_dir, FEAT, "lab")
+    long = feat.select("pid", "task", F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("value")) for k in ("x", "top", "sd")))).alias("f")).select("pid", "task", "f.*")
+    targets = lab.select("pid", F.explode(F.array(F.struct(F.lit("mean").alias("target"), F.col("y").alias("y")), F.struct(F.lit("n").alias("target"), F.col("n_all").cast("double").alias("y")))).alias("t")).select("pid", "t.*")
+    return staged(screening.observed(long, targets), "observed")
+
+
+def stability_candidates(spark, sf_dir):
+    """Half-split stability of 200 splits against the 0.95 quantile of 50 shuffles, by task, target and feature."""
+    rows = _features_and_targets(spark, sf_dir)
+    return screening.candidates(screening.stabilities(rows), screening.thresholds(screening.null_stabilities(rows)))
+
+
+def validated_selection(spark, sf_dir):
+    """Selection validated on each participant left out; without its outer permutations, which repeat all of it 200 times."""
+    rows = _features_and_targets(spark, sf_dir).withColumn("source", F.lit("child"))
+    cells = rows.select("task", "source", "target").distinct()
+    return screening.selection_cells(rows, rows.select("task", "target").distinct().withColumn("tau", F.lit(0.5)), cells, 0)
+
+
+def validated_ridge(spark, sf_dir):
+    """Ridge on each cell's best two features with repeated stratified folds; without its 1,000 permutations, which repeat all of it."""
+    rows = _features_and_targets(spark, sf_dir).withColumn("source", F.lit("child"))
+    hits = spearman(rows, ["task", "source", "target", "feature"]).withColumn("q", 1 - F.abs("rho")).withColumn("stability", F.abs("rho"))
+    groups = rows.select("pid").distinct().select("pid", F.when(F.col("pid") % 3 == 0, "preterm").otherwise("other").alias("grp"))
+    return screening.ridge_cells(rows, hits, groups, 0)
+
+
 def pair_intervals(spark, sf_dir):
     """Contrasts of task pairs with BCa intervals of 4,999 draws by numpy's generator; restated in the tests."""
     return screening.pair_contrasts(_observed(spark, sf_dir))
@@ -425,5 +466,5 @@ def overlap_by_target(spark, sf_dir):
     return got.select("source", "feature", "n_targets", "targets", "on_click", "on_view", rounded(F.col("rho_click")).alias("rho_click"), rounded(F.col("rho_view")).alias("rho_view"))
 
 
-for _query in (dyad_synchrony, head_entropy, body_spectrum, pair_intervals, pool_intervals, heterogeneity_bootstrap, largest_contrast):
+for _query in (dyad_synchrony, head_entropy, body_spectrum, pair_intervals, pool_intervals, heterogeneity_bootstrap, largest_contrast, stability_candidates, validated_selection, validated_ridge):
     QUERIES[_query.__name__] = _query

@@ -97,8 +97,8 @@ add(
     f" select ta, tb, n, round(pa - pb, 6) + 0.0 as delta_rho, round({_Z2.format('pa')} - {_Z2.format('pb')}, 6) + 0.0 as delta_z from c where n >= 12",
 )
 _SHUFFLED = (
-    f"{_CELL}, yp as (select s.rep, s.pid, o.y from (select rep, pid, row_number() over (partition by rep order by md5(concat(rep, ':', pid)), pid) as slot from lab, (select @series(1, 20) as rep) q) s"
-    " join (select y, row_number() over (order by pid) as own from lab) o on s.slot = o.own),"
+    f"{_CELL}, yp as (select s.rep, s.pid, o.y from (select rep, pid, row_number() over (partition by rep order by md5(concat(rep, ':', pid)), pid) as slot from lab, (select @series(1, 500) as rep) q) s"
+    " join (select rep, y, row_number() over (partition by rep order by pid) as own from lab, (select @series(1, 500) as rep) q2) o on s.rep = o.rep and s.slot = o.own),"
     " bb as (select 0 as rep, ta, tb, xa, xb, y from ab union all select yp.rep, ta, tb, xa, xb, yp.y from ab join yp on ab.pid = yp.pid),"
     f" rr as (select rep, ta, tb, {rank('xa', 'rep, ta, tb')} as ra, {rank('xb', 'rep, ta, tb')} as rb, {rank('y', 'rep, ta, tb')} as ry from bb),"
     f" cc as (select rep, ta, tb, count(*) as n, {CORR.replace('rx', 'ra')} as pa, {CORR.replace('rx', 'rb')} as pb, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) as rab from rr group by rep, ta, tb)"
