@@ -172,7 +172,7 @@ def _first_pass(window, rounds):
 
 
 def _second_pass(window, rounds):
-    """Windows on shared anchors of candidate documents."""
+    """Windows on shared anchors of candidate documents: a row each window of a document, with its first start and, where it is repeated, the others."""
 
     def run(batches):
         for batch in batches:
@@ -185,8 +185,15 @@ def _second_pass(window, rounds):
                     own = slice(cut[i], cut[i + 1])
                     want = np.asarray(shared[i].values.to_numpy(), np.int64).view(np.uint64)
                     at = (starts[own] - first[i])[np.isin(names[own], want)]
-                    w1, w2 = windows(h[first[i] : first[i + 1]], window)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(at.astype(np.int32)), pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64))], ["ord", "at", "w1", "w2"])
+                    w1, w2 = (w[at] for w in windows(h[first[i] : first[i + 1]], window))
+                    order = np.lexsort((at, w2, w1))
+                    at, w1, w2 = at[order].astype(np.int32), w1[order], w2[order]
+                    head = np.ones(len(at), bool)
+                    head[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+                    begin = np.flatnonzero(head)
+                    again = np.diff(np.append(begin, len(at))) - 1
+                    more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(again)).astype(np.int32)), pa.array(at[~head]), mask=pa.array(again == 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), ids[i])), pa.array(at[begin]), more, pa.array(w1[begin].view(np.int64)), pa.array(w2[begin].view(np.int64))], ["ord", "at", "more", "w1", "w2"])
 
     return run
 
@@ -241,13 +248,15 @@ def find(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[D
     # anchors of representatives; equal texts have equal anchors
     reps = passed.select("ord", "k1", "k2", "anchors").join(groups, ["k1", "k2"]).where("ord = least").select("ord", F.explode("anchors").alias("anchor"))
     reps = staged(reps, "anchors")
-    shared = reps.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi")
-    candidates = reps.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("shared"))
+    # anti joins on a key and a document: a key that many documents share is spread over all tasks
+    single = reps.groupBy("anchor").agg(F.min("ord").alias("ord"), F.max("ord").alias("hi")).where("ord = hi").select("anchor", "ord")
+    candidates = reps.join(single.hint("merge"), ["anchor", "ord"], "left_anti").groupBy("ord").agg(F.collect_set("anchor").alias("shared"))
     candidates = staged(candidates, "candidates")
     texts = rows.select("ord", "text").join(candidates.hint("merge"), "ord")
-    found = staged(texts.mapInArrow(tidied(_second_pass(window, rounds)), "ord long, at int, w1 long, w2 long"), "windows")
-    least = found.groupBy("w1", "w2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo <> hi").select("w1", "w2", "lo")
-    gone = staged(found.join(least, ["w1", "w2"]).where("ord > lo").groupBy("ord").agg(F.collect_set("at").alias("starts")), "gone")
+    found = staged(texts.mapInArrow(tidied(_second_pass(window, rounds)), "ord long, at int, more array<int>, w1 long, w2 long"), "windows")
+    least = found.groupBy("w1", "w2").agg(F.min("ord").alias("ord"))
+    repeats = found.join(least.hint("merge"), ["w1", "w2", "ord"], "left_anti")
+    gone = staged(repeats.groupBy("ord").agg(F.concat(F.collect_list("at"), F.flatten(F.collect_list("more"))).alias("starts")), "gone")
     drop_staged(reps, candidates, found)
     return passed.drop("anchors").join(groups, ["k1", "k2"]), gone
 

@@ -104,6 +104,15 @@ def test_passages_go_but_the_first_document_keeps_them(spark):
     assert passage in cut[0] and passage not in cut[3] and 102 not in cut
 
 
+def test_windows_repeated_inside_a_document_and_in_most_documents(spark):
+    rng = random.Random(8)
+    hot = " ".join(f"h{k % 55}" for k in range(170))  # windows come again every 55 words
+    rows = [(d, " ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) + " " + hot, "s", "c") for d in range(60)]
+    rows += [(None, hot + " tail", "s", "c"), (7, rows[7][1], "s", "c"), (90, "z " * 60 + "end", "s", "c"), (91, "front " + "z " * 55, "s", "c")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in recompression.deduplicate(frame(spark, rows)).collect())
+    assert got == Counter([(0, 200, 0), *((d, 200, 170) for d in [*range(1, 60), 7]), (None, 171, 170), (90, 61, 0), (91, 56, 55)])
+
+
 def test_anchors_are_a_function_of_the_window():
     rng = np.random.default_rng(3)
     h = K.mix(rng.integers(0, 3, 6000).astype(np.uint64))
