@@ -26,12 +26,14 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import logging
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +42,23 @@ from tandemetry.llm.common import drop_staged, shards, staged, tidied
 CAPACITY = 2048
 #: Fillings that each search may try in all, and likely ones kept at each step.
 NODES, WIDTH = 6000, 3
-#: Entries that each of the tokenizer's memos holds before it begins anew.
-MEMO = 200_000
+#: Words that the tokenizer's memo holds when it begins anew, and characters of the texts that it takes at once.
+MEMO, SLICE = 300_000, 1 << 20
 
 
 class WordBPE:
     """Ids of a word-level BPE file, packed as little-endian unsigned 32-bit numbers.
 
-    Words never merge across white space, so ids are remembered per run of
-    non-space characters and per word.  Texts with characters for which the
-    normaliser could differ from str.lower (beyond Latin and common punctuation)
-    or with special tokens go through the tokenizer as a whole.
+    Words never merge, so ids are found once for each distinct word of a slice of
+    texts and dealt to its places by arrays; they are remembered between slices.
+    Texts with characters for which the normaliser could differ from str.lower
+    (beyond Latin and common punctuation) or with special tokens go through the
+    tokenizer as a whole.
     """
 
-    ODD = regex.compile(r"[^\x00-ɏ‐-‧‰-⁞€]|[\x1c-\x1fİ]|<\|")
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    ODD = r"[^\x{0}-\x{24F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}]|[\x{1C}-\x{1F}\x{130}]|<\|"
+    GAP = re.compile(r"\s")
+    SPACE, LETTER, NUMBER, OTHER = range(4)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,29 +69,100 @@ class WordBPE:
         shifted = (b for b in range(256) if b not in plain)
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(shifted)}
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        # of every character that a text which is not odd has in lower case
+        self.kinds = np.array([self.SPACE if c.isspace() else {"L": self.LETTER, "N": self.NUMBER}.get(unicodedata.category(c)[0], self.OTHER) for c in map(chr, range(0x3000))], np.uint8)
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
             spelled = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
+            got = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
         return got
 
-    def _run(self, run: str) -> bytes:
-        got = b"".join(map(self._word, self.WORDS.findall(run)))
-        self.runs[run] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.runs) >= MEMO:
-            self.runs.clear()
-        known, run = self.runs.get, self._run
-        return b"".join([x if (x := known(w)) is not None else run(w) for w in text.lower().split()])
+    def _starts(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte of lower-case text that ends in white space: whether a word starts there, and whether it is part of one.
+
+        A word is 's, 't, 're, 've, 'm, 'll or 'd, or a run of letters, or one number, or a run of others; what comes first is taken.
+        """
+        kind = self.kinds[text]
+        lead = np.flatnonzero(text >= 0xC0)
+        if len(lead):
+            first, second, third = (text[lead + k].astype(np.int32) for k in range(3))
+            long = first >= 0xE0
+            of = self.kinds[np.where(long, (first & 15) << 12 | (second & 63) << 6 | third & 63, (first & 31) << 6 | second & 63)]
+            kind[lead] = kind[lead + 1] = of
+            kind[lead[long] + 2] = of[long]
+        starts = kind == self.NUMBER
+        starts &= text & 0xC0 != 0x80
+        starts[0] = True
+        starts[1:] |= kind[1:] != kind[:-1]
+        inside = kind != self.SPACE
+        starts &= inside
+        quote = np.flatnonzero(text[:-2] == ord("'"))
+        quote = quote[starts[quote] & starts[quote + 1] & (kind[quote + 1] == self.LETTER)]
+        one, two = text[quote + 1], text[quote + 2]
+        short = np.isin(one, list(b"stmd"))
+        cut = short | np.isin(one.astype(np.int32) << 8 | two, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])
+        quote, end = quote[cut], (quote + np.where(short, 2, 3))[cut]
+        starts[quote + 1] = False
+        starts[end[kind[end] == self.LETTER]] = True
+        return starts, inside
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are not odd."""
+        if not texts:
+            return []
+        rows = [text.lower().encode() + b"\n" for text in texts]
+        text = np.frombuffer(b"".join(rows), np.uint8)
+        starts, inside = self._starts(text)
+        places = np.flatnonzero(starts)
+        edges = np.searchsorted(places, np.cumsum([0, *map(len, rows)]))
+        ends = np.append(np.flatnonzero(starts[inside]), np.count_nonzero(inside)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(text[inside])).dictionary_encode()
+        if len(self.words) >= MEMO:
+            self.words.clear()
+        known = [*map(self._word, found.dictionary.to_numpy(zero_copy_only=False).tolist())]
+        ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.array([*map(len, known)], np.int64) // 4
+        word = found.indices.to_numpy()
+        many = sizes[word]
+        before = np.append(0, np.cumsum(many))
+        at = np.repeat((np.cumsum(sizes) - sizes)[word] - before[:-1], many)
+        at += np.arange(len(at))
+        ids, cuts = ids[at], before[edges].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _long(self, text: str) -> bytes:
+        """Ids of one text that is not odd, cut at white space."""
+        done, a = [], 0
+        while a < len(text):
+            space = self.GAP.search(text, a + SLICE)
+            b = space.start() if space else len(text)
+            done += self._slice([text[a:b]])
+            a = b
+        return b"".join(done)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, in order; a null text is empty."""
+
+        def flush() -> list[bytes]:
+            got = self._slice(waiting)
+            for k, ids in whole.items():
+                got[k] = ids
+            return got
+
+        waiting, whole, size = [], {}, 0  # texts of the slice, and ids by place of those that do not go through it
+        for text, odd in zip(texts, pc.match_substring_regex(texts, self.ODD), strict=True):
+            text = text.as_py() or ""
+            size += len(text)
+            if size > SLICE and waiting:
+                yield from flush()
+                waiting, whole, size = [], {}, len(text)
+            if odd.as_py():
+                whole[len(waiting)] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            elif len(text) > SLICE:
+                whole[len(waiting)] = self._long(text)
+            waiting.append("" if len(waiting) in whole else text)
+        yield from flush()
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,8 +176,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             bpe = bpe or WordBPE(path)
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = bpe.encode(text.as_py() or "") + bytes(4)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode(batch.column("text")), strict=True):
+                ids += bytes(4)
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     rows.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -218,6 +219,42 @@ def test_packing_is_whole_and_as_tight_as_the_bound(spark):
     assert got.sequence_id.nunique() == -(-got.length.sum() // 2048)
 
 
+def test_ids_of_a_slice_equal_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS_FILE)
+    every = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x300, 0x2028, 0x3000, 0x1F600]]
+    texts = [t for c in every for t in (c, f"a{c}b {c}'s{c}", f"'{c}' I'{c}5{c}{c}")]
+    rng = random.Random(5)
+    signs = ["'", "'", "s", "t", "re", "ve", "ll", "m", "d", "S", "é", "É", "Ⱥ", "5", "½", '"', "-", "€", "…", " ", "\n", "\x85", "\xa0", "word", "Words"]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)]
+    texts += [None, "", " ", "<|endoftext|>", "a <|startoftext|>b", " ".join(made_texts(8, 3))]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    bpe = packing.WordBPE(WORDS_FILE)
+    for size in (1 << 20, 500, 7):  # the last cut most texts
+        monkeypatch.setattr(packing, "SLICE", size)
+        got = list(bpe.encode(pa.array(texts, pa.string())))
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+    assert list(bpe.encode(pa.array([], pa.string()))) == []
+
+
+def test_words_of_a_slice_are_tokenized_once(monkeypatch):
+    """Time goes to words that are tokenized again: of more than the memo holds, and beside other signs."""
+    bpe, seen = packing.WordBPE(WORDS_FILE), Counter()
+
+    class Model:
+        def tokenize(self, word, model=bpe.model):
+            seen[word] += 1
+            return model.tokenize(word)
+
+    bpe.model = Model()
+    monkeypatch.setattr(packing, "MEMO", 10)
+    words = ["".join(p) for p in itertools.product("bdfg", "aeiou", "klmn")]
+    texts = [f"{a} {a}{sign} ({a} {b}" for sign in ",.;:!" for a, b in itertools.pairwise(words)]
+    assert sum(map(len, bpe.encode(pa.array(texts)))) > 0
+    assert set(words) <= set(seen) and set(seen.values()) == {1}
+
+
 def test_bin_completion_finds_what_best_fit_misses():
     for seed in range(30):
         rng = random.Random(seed)
