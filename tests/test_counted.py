@@ -27,3 +27,9 @@ def test_leave_one_out_by_sums():
         xa, _, y = three(n, digits)
         assert np.allclose(counted.leave_one_out(xa, y), resampling.left_out(resampling.spearman, xa, y), equal_nan=True, atol=1e-12)
     assert np.isnan(counted.leave_one_out(np.ones(9), np.arange(9.0))).all()
+
+
+def test_williams_test_alone_leaves_nobody_out(monkeypatch):
+    xa, xb, y = three(50, 6)
+    monkeypatch.setattr(counted, "leave_one_out", None)
+    assert resampling.pair_contrast(xa, xb, y, np.random.default_rng(1), 0)["p_hw"] == resampling.williams(*(float(resampling.spearman(*p)) for p in ((xa, y), (xb, y), (xa, xb))), 50)["p"]
