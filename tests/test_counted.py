@@ -33,3 +33,16 @@ def test_williams_test_alone_leaves_nobody_out(monkeypatch):
     xa, xb, y = three(50, 6)
     monkeypatch.setattr(counted, "leave_one_out", None)
     assert resampling.pair_contrast(xa, xb, y, np.random.default_rng(1), 0)["p_hw"] == resampling.williams(*(float(resampling.spearman(*p)) for p in ((xa, y), (xb, y), (xa, xb))), 50)["p"]
+
+
+def test_heterogeneity_of_parts_is_that_of_the_whole():
+    for n in (60, counted.FEW + 5):
+        xa, xb, y = three(n, 1)
+        x = np.stack([xa, xb, xa - xb])
+        x[0, ::5] = np.nan
+        whole = resampling.heterogeneity(x, y, np.random.default_rng(2), 30)
+        got = [resampling.heterogeneity_part(x, y, np.random.default_rng(2), 30, part=p) for p in ((0, 11), (11, 12), (12, 30))]
+        assert resampling.heterogeneity_p(got[0][0], np.concatenate([null for _, null in got])) == whole
+        i = np.random.default_rng(2).integers(0, n, size=(30, n))
+        z = np.stack([np.where(m >= 8, resampling.fisher(r), np.nan) for r, m in (resampling.spearman_masked(row[i], y[i]) for row in x)], axis=1)
+        assert np.allclose(resampling.Redrawn(x, y)(i, 8), z, atol=1e-12)
