@@ -46,3 +46,11 @@ def test_heterogeneity_of_parts_is_that_of_the_whole():
         i = np.random.default_rng(2).integers(0, n, size=(30, n))
         z = np.stack([np.where(m >= 8, resampling.fisher(r), np.nan) for r, m in (resampling.spearman_masked(row[i], y[i]) for row in x)], axis=1)
         assert np.allclose(resampling.Redrawn(x, y)(i, 8), z, atol=1e-12)
+
+
+def test_largest_contrast_of_parts_is_that_of_the_whole():
+    xa, xb, y = three(70, 1)
+    x = np.stack([xa, xb, xa - xb])
+    whole = resampling.largest_contrast(x, y, np.random.default_rng(2), 30)
+    got = [resampling.largest_part(x, y, np.random.default_rng(2), 30, part=p) for p in ((0, 7), (7, 30))]
+    assert resampling.largest_p(got[0][0], np.concatenate([far for _, far in got])) == whole and whole["n_boot_valid"] == 30
