@@ -54,3 +54,11 @@ def test_largest_contrast_of_parts_is_that_of_the_whole():
     whole = resampling.largest_contrast(x, y, np.random.default_rng(2), 30)
     got = [resampling.largest_part(x, y, np.random.default_rng(2), 30, part=p) for p in ((0, 7), (7, 30))]
     assert resampling.largest_p(got[0][0], np.concatenate([far for _, far in got])) == whole and whole["n_boot_valid"] == 30
+
+
+def test_pooled_replicates_by_counts():
+    for n, digits in ((50, 0), (counted.FEW + 3, 2)):
+        xa, xb, y = three(n, digits)
+        i = np.random.default_rng(4).integers(0, n, size=(20, n))
+        got = resampling.redrawn_pools(xa, xb, y, np.random.default_rng(4), 20)
+        assert np.allclose(got, np.stack(resampling.pooled(xa[i], xb[i], y[i])), atol=1e-12)
