@@ -6,6 +6,7 @@ Rounds run over arrays of 32-bit words, a part of the items at a time, so a dige
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -36,8 +37,7 @@ class Names:
         for size, at in self.groups:
             rows = self.bytes[at][:, :size]
             if len(head) + size > 55:
-                whole = [hashlib.md5(head.tobytes() + r.tobytes()).digest() for r in rows]  # noqa: S324
-                out[:, at] = np.array([np.frombuffer(d, ">u4")[:words] for d in whole]).T
+                out[:, at] = _any_length(np.concatenate([np.repeat(head[None], len(rows), axis=0), rows], axis=1), words)
                 continue
             got = np.empty((words, len(rows)), np.uint32)
             for a in range(0, len(rows), PART):
@@ -45,20 +45,48 @@ class Names:
             out[:, at] = got
         return out
 
-    def order(self, prefix: str, items: np.ndarray) -> np.ndarray:
-        """Items in the order of their digests, of equal ones by item."""
-        d = self.digests(prefix).astype(np.uint64)
-        high = (d[0] << np.uint64(32)) | d[1]
-        # a place in the low bits makes the sort carry it along; where the other bits leave a tie, all of the digest decides
-        bits = np.uint64(max(1, int(self.n - 1).bit_length())) if self.n else np.uint64(1)
-        packed = np.sort(((high >> bits) << bits) | np.arange(self.n, dtype=np.uint64))
-        if self.n > 1 and (np.diff(packed >> bits) == 0).any():
-            return np.lexsort((items, (d[2] << np.uint64(32)) | d[3], high))
-        return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-
-    def draws(self, prefix: str) -> np.ndarray:
-        """The number that the first eight hexadecimal digits make."""
-        return self.digests(prefix, 1)[0]
+    def each(self, prefixes: list[str], words: int = 4) -> Iterator[np.ndarray]:
+        """digests of each prefix; those of few items are made of many prefixes at once."""
+        if self.n * 4 > PART:
+            yield from (self.digests(p, words) for p in prefixes)
+            return
+        step = max(1, PART // max(self.n, 1))
+        for a in range(0, len(prefixes), step):
+            some = [np.frombuffer(p.encode(), np.uint8) for p in prefixes[a : a + step]]
+            out = np.empty((len(some), words, self.n), np.uint32)
+            for length in {len(p) for p in some}:
+                own = [k for k, p in enumerate(some) if len(p) == length]
+                heads = np.stack([some[k] for k in own]) if length else np.zeros((len(own), 0), np.uint8)
+                for size, at in self.groups:
+                    rows = self.bytes[at][:, :size]
+                    whole = np.concatenate([np.repeat(heads, len(rows), axis=0), np.tile(rows, (len(own), 1))], axis=1)
+                    got = _any_length(whole, words).reshape(words, len(own), len(rows))
+                    for j, k in enumerate(own):
+                        out[k][:, at] = got[:, j]
+            yield from out
+
+    def orders(self, prefixes: list[str], items: np.ndarray) -> Iterator[np.ndarray]:
+        """For each prefix the items in the order of their digests, of equal ones by item."""
+        bits = np.uint64(max(1, int(max(self.n, 1) - 1).bit_length()))
+        places, mask = np.arange(self.n, dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1)
+        for d in self.each(prefixes):
+            high = (d[0].astype(np.uint64) << np.uint64(32)) | d[1]
+            # a place in the low bits makes the sort carry it along; where the other bits leave a tie, all of the digest decides
+            packed = np.sort(((high >> bits) << bits) | places)
+            if self.n > 1 and (np.diff(packed >> bits) == 0).any():
+                yield np.lexsort((items, (d[2].astype(np.uint64) << np.uint64(32)) | d[3], high))
+            else:
+                yield (packed & mask).astype(np.int64)
+
+    def draws(self, prefixes: list[str]) -> Iterator[np.ndarray]:
+        """For each prefix the numbers that the first eight hexadecimal digits make."""
+        yield from (d[0].astype(np.int64) for d in self.each(prefixes, 1))
+
+
+def _any_length(rows: np.ndarray, words: int) -> np.ndarray:
+    if rows.shape[1] > 55:
+        return np.array([np.frombuffer(hashlib.md5(r.tobytes()).digest(), ">u4")[:words] for r in rows]).T  # noqa: S324
+    return _one_block(np.zeros(0, np.uint8), rows, words)
 
 
 def _one_block(head: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:

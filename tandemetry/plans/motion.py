@@ -7,7 +7,9 @@ and right wrist, left and right elbow) and the eleventh the shoulder width.
 
 from __future__ import annotations
 
-from tandemetry.plans.catalog import CORR, EV, FEAT, TURNS, UT, add, frames, rank
+from tandemetry.functions.staging import staged
+from tandemetry.operators import resampled
+from tandemetry.plans.catalog import CORR, EV, FEAT, TURNS, UT, _pieces, add, base, frames, operator, rank
 
 POSE = (
     "ps as (select vec_id % 50 as pid, @div(vec_id, 50) as slot, j, cast(@at(embedding, 2 * j - 1) as double) as x, cast(@at(embedding, 2 * j) as double) as y, abs(cast(@at(embedding, 11) as double)) + 5e-2 as w"
@@ -103,13 +105,39 @@ _SHUFFLED = (
     f" rr as (select rep, ta, tb, {rank('xa', 'rep, ta, tb')} as ra, {rank('xb', 'rep, ta, tb')} as rb, {rank('y', 'rep, ta, tb')} as ry from bb),"
     f" cc as (select rep, ta, tb, count(*) as n, {CORR.replace('rx', 'ra')} as pa, {CORR.replace('rx', 'rb')} as pb, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) as rab from rr group by rep, ta, tb)"
 )
-add(
-    "max_statistic",
+
+
+def _shuffled(spark, sf_dir):
+    """cc of _SHUFFLED: correlations of all pairs of tasks in each replicate."""
+    pairs = base(spark, sf_dir, _CELL, "ab").select("ta", "tb", "pid", "xa", "xb")
+    return staged(resampled.shuffled_pairs(pairs, base(spark, sf_dir, FEAT, "lab").select("pid", "y")), "shuffled")
+
+
+@operator(
     f"with {_SHUFFLED}, dz as (select rep, ta, tb, abs({_Z2.format('pa')} - {_Z2.format('pb')}) as d from cc where n >= 12), mx as (select rep, max(d) as m from dz where rep > 0 group by rep)"
-    " select o.ta, o.tb, round(max(o.d), 6) as d, round((1 + count(*) filter (where mx.m >= o.d - 1e-12)) / (1e0 + count(mx.m)), 6) as p_max from dz o cross join mx where o.rep = 0 group by o.ta, o.tb",
-)
-add(
-    "lambda_permutation",
+    " select o.ta, o.tb, round(max(o.d), 6) as d, round((1 + count(*) filter (where mx.m >= o.d - 1e-12)) / (1e0 + count(mx.m)), 6) as p_max from dz o cross join mx where o.rep = 0 group by o.ta, o.tb"
+)
+def max_statistic(spark, sf_dir):
+    """p of each pair's difference against the largest difference of each permutation."""
+    return _pieces(
+        spark,
+        f"with dz as (select rep, ta, tb, abs({_Z2.format('pa')} - {_Z2.format('pb')}) as d from {{cc}} where n >= 12), mx as (select rep, max(d) as m from dz where rep > 0 group by rep)"
+        " select o.ta, o.tb, round(max(o.d), 6) as d, round((1 + count(*) filter (where mx.m >= o.d - 1e-12)) / (1e0 + count(mx.m)), 6) as p_max from dz o cross join mx where o.rep = 0 group by o.ta, o.tb",
+        cc=_shuffled(spark, sf_dir),
+    )
+
+
+@operator(
     f"with {_SHUFFLED}, lm as (select rep, (case when abs(pa) >= abs(pb) then pb else pa end) / nullif(case when abs(pa) >= abs(pb) then pa else pb end, 0) as lam, sqrt(greatest(0e0, 2 * (1 + rab))) - 1 as star from cc where n >= 12),"
-    " fr as (select rep, avg(case when lam is null then null when lam < star then 1e0 else 0e0 end) as frac from lm group by rep) select round(max(case when rep = 0 then frac end), 6) as observed, round(@pct(case when rep > 0 then frac end, 0.5), 6) as null_median, count(*) filter (where rep > 0) as n_null from fr",
-)
+    " fr as (select rep, avg(case when lam is null then null when lam < star then 1e0 else 0e0 end) as frac from lm group by rep) select round(max(case when rep = 0 then frac end), 6) as observed, round(@pct(case when rep > 0 then frac end, 0.5), 6) as null_median, count(*) filter (where rep > 0) as n_null from fr"
+)
+def lambda_permutation(spark, sf_dir):
+    """Share of pairs that pooling makes worse, as seen and in the median permutation."""
+    return _pieces(
+        spark,
+        "with lm as (select rep, (case when abs(pa) >= abs(pb) then pb else pa end) / nullif(case when abs(pa) >= abs(pb) then pa else pb end, 0) as lam, sqrt(greatest(0e0, 2 * (1 + rab))) - 1 as star from {cc} where n >= 12),"
+        " fr as (select rep, avg(case when lam is null then null when lam < star then 1e0 else 0e0 end) as frac from lm group by rep) select round(max(case when rep = 0 then frac end), 6) as observed, round(@pct(case when rep > 0 then frac end, 0.5), 6) as null_median, count(*) filter (where rep > 0) as n_null from fr",
+        cc=_shuffled(spark, sf_dir),
+    )
+
+
