@@ -9,7 +9,7 @@ from conftest import DATA
 from tandemetry.functions.digests import Names
 from tandemetry.plans import catalog, motion  # noqa: F401  motion adds to the queries of the catalog
 
-DEALT = ["bootstrap_heterogeneity", "bootstrap_ci", "screen_spearman_bh", "half_stability", "null_threshold", "shifted_bootstrap_p", "lambda_permutation"]
+DEALT = ["bootstrap_heterogeneity", "bootstrap_ci", "screen_spearman_bh", "half_stability", "null_threshold", "shifted_bootstrap_p", "lambda_permutation", "max_statistic"]
 
 
 @pytest.mark.parametrize("name", DEALT)
