@@ -27,3 +27,8 @@ def test_digests_are_md5(n):
         assert ["".join(f"{v:08x}" for v in d) for d in got.T] == want
         assert draw.tolist() == [int(h[:8], 16) for h in want]
         assert order.tolist() == sorted(range(len(items)), key=lambda k: (want[k], items[k]))
+
+
+def test_recurrence_shuffles_series_not_distances(spark):
+    plan = catalog.QUERIES["cross_recurrence"](spark, DATA)._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
