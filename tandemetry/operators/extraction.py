@@ -22,7 +22,7 @@ def _families(cell_slots: DataFrame, spans: DataFrame, series_rows: DataFrame, u
     """All families over the cells; what several of them read is written once."""
     rows = staged(cell_slots.drop("t").join(series_rows, ["pid", "slot"]), "cell-rows")
     moved = staged(kinematics.joints(rows), "joints")
-    found = [kinematics.head(rows), kinematics.body(rows, moved), synchrony.features(rows, moved), conversation.features(utterances, spans), conversation.crossmodal(rows, utterances, moved)]
+    found = [kinematics.head(rows), kinematics.body(rows), synchrony.features(rows, moved), conversation.features(utterances, spans), conversation.crossmodal(rows, utterances, moved)]
     return reduce(DataFrame.union, [staged(df, "features") for df in found])
 
 
